@@ -110,7 +110,7 @@ def row_stage(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        types = [to_arrow_type(f.dataType, timezone="UTC") for f in added.fields]
+        types = [to_arrow_type(f.dataType) for f in added.fields]
         for batch in batches:
             inputs = {n: batch.column(n).to_pylist() for n in needs}
             rows = [fn(dict(zip(inputs, values))) for values in zip(*inputs.values())] if needs else []
