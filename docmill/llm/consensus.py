@@ -42,7 +42,7 @@ def number(answer: Column, low: int, high: int) -> Column:
 
 @dataclass(frozen=True)
 class Field:
-    """A field: its range, the finer levels answers fall into, and each level's label.
+    """A field: its range, the levels answers fall into, and each level's label.
 
     `edges` are the upper ends of the levels; `labels` the label of each level.
     """
@@ -62,7 +62,7 @@ class Field:
 
 
 Y4 = Field("y4", 1, 5, (1.5, 2.5, 3.5, 4.5, 5.0), (1, 2, 3, 4, 5))
-Y2 = Field("y2", 0, 100, (11, 22, 33.5, 44, 55, 66.5, 78, 89, 100), (0, 0, 0, 1, 1, 1, 2, 2, 2))
+Y2 = Field("y2", 0, 100, (33.5, 66.5, 100), (0, 1, 2))
 FIELDS = (Y4, Y2)
 
 
