@@ -10,6 +10,7 @@ for _module, _names in (
     ("consensus", ("p3_consensus", "p3_found", "p3_reliability")),
     ("splitting", ("p4_pieces", "p4_found")),
     ("tokenize", ("p6_ids",)),
+    ("batchdedup", ("p5_found", "p5_coverage")),
     ("packing", ("p7_containers", "p7_fill")),
 ):
     _m = importlib.import_module(f"docmill.llm.{_module}")
