@@ -8,6 +8,7 @@ QUERIES = {}
 SQL = {}
 for _module, _names in (
     ("consensus", ("p3_consensus", "p3_found", "p3_reliability")),
+    ("textstats", ("p2_stats", "p2_found")),
     ("splitting", ("p4_pieces", "p4_found")),
     ("tokenize", ("p6_ids",)),
     ("batchdedup", ("p5_found", "p5_coverage")),

@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from docmill.llm.common import spread, table
 
 LIMIT, OVERLAP = 6000, 300
-_EOL = "(?:\r\n|[\n\r\x0b\x85  ])"
+_BREAKS = r"\n\r\x0b\x85\u2028\u2029"
+_EOL = rf"(?:\r\n|[{_BREAKS}])"
 #: Levels from coarse to fine: a cut lies behind each match.
 LEVELS = (
     ("page", re.compile("\f")),
-    ("paragraph", re.compile(rf"{_EOL}[^\S\n\r\x0b\x85  \f]*(?={_EOL})")),
+    ("paragraph", re.compile(rf"{_EOL}[^\S{_BREAKS}\f]*(?={_EOL})")),
     ("line", re.compile(_EOL)),
     ("sentence", re.compile(r"[.!?](?=\s)|[。！？]")),
     ("word", re.compile(r"\s")),
