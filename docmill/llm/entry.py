@@ -12,6 +12,7 @@ for _module, _names in (
     ("splitting", ("p4_pieces", "p4_found")),
     ("tokenize", ("p6_ids",)),
     ("batchdedup", ("p5_found", "p5_coverage")),
+    ("language", ("p8_documents", "p8_passages", "p8_found")),
     ("packing", ("p7_containers", "p7_fill")),
 ):
     _m = importlib.import_module(f"docmill.llm.{_module}")
