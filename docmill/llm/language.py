@@ -1,6 +1,6 @@
 """Problem 8: language of documents and passages by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a passage in frames of four; each step's input is the sum
+The network reads the UTF-8 bytes of a passage in frames of eight; each step's input is the sum
 of one learned vector per byte and place in the frame, two recurrent layers run in opposite
 directions, and a softmax labels every frame and so every byte. It is trained in numpy by
 backpropagation through time on the labelled samples, a table of fixed size, with random
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from docmill.llm.common import spread, table
 
-FRAME, HIDDEN, PIECE = 4, 32, 384
+FRAME, HIDDEN, PIECE = 8, 32, 384
 #: Labelled rows that may join the samples for the second fit, and their passages per language.
-FIT_ROWS, FIT_PASSAGES = 3000, 1500
+FIT_ROWS, FIT_PASSAGES = 3000, 2500
 
 #: The languages with the codes and names that labels use.
 NAMES = {
@@ -132,12 +132,11 @@ def sentence(s: str) -> bool:
     if "://" in s or "@" in s:
         s = _LINK.sub(" ", s)
     if s.isascii():
-        n = len(s.split())
-        return n >= 3 and len(_WORD.findall(s)) >= 3
+        return sum(map(str.isalpha, s.split())) >= 3 or len(_WORD.findall(s)) >= 3
     return len(_WORD.findall(s)) >= 3 or len(_HAN.findall(s)) >= 5
 
 
-_DIGITS = re.compile(r"[\d.,%$€]*\d[\d.,%$€]*")
+_DIGITS = re.compile(r"\d[\d.,]*")
 
 
 def as_bytes(s: str) -> bytes:
@@ -237,19 +236,19 @@ class ByteGRU:
             dembed[p] = hot.T @ flat
         return [dembed, drecur, dcand]
 
-    def train(self, texts: list[bytes], labels: list[int], steps: int = 420, batch: int = 72, length: int = 20, rate: float = 0.012, seed: int = 9) -> None:
+    def train(self, texts: list[bytes], labels: list[int], steps: int, batch: int = 96, length: int = 12, rate: float = 0.012, seed: int = 9) -> None:
         """Adam on random crops of `length` frames; the loss is the mean cross-entropy of all positions."""
         rng = np.random.default_rng(seed)
         by = [[t for t, y in zip(texts, labels) if y == k] for k in range(len(self.langs))]
+        # A language of many different sentences comes up more often, up to four times.
+        share = np.array([min(4.0, max(1.0, len(some) / 400)) if some else 0.0 for some in by])
+        share /= share.sum()
         params = [p for layer in self.layers for p in layer.parts()] + [self.bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         width = length * FRAME
         for step in range(1, steps + 1):
             items, y = [], []
-            for i in range(batch):
-                k = i % len(self.langs)
-                if not by[k]:
-                    continue
+            for k in rng.choice(len(self.langs), batch, p=share):
                 t = by[k][rng.integers(len(by[k]))]
                 at = int(rng.integers(max(1, len(t) - width // 3)))
                 items.append(t[at : at + width])
@@ -310,7 +309,7 @@ class ByteGRU:
             state += c
         return hs
 
-    def read(self, items: list[bytes], block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, items: list[bytes], block: int = 768) -> tuple[np.ndarray, np.ndarray]:
         """(mean probability of each language, positions) of each item."""
         probs = np.zeros((len(items), len(self.langs)), np.float32)
         steps = np.array([max(1, -(-len(b) // FRAME)) for b in items], np.int64)
@@ -335,7 +334,7 @@ class ByteGRU:
         return probs, steps
 
 
-def fit(samples: Iterable[tuple[str, str]], rows: Iterable[tuple[str, str]] = (), steps: int = 300, more: int = 500) -> ByteGRU:
+def fit(samples: Iterable[tuple[str, str]], rows: Iterable[tuple[str, str]] = (), steps: int = 300, more: int = 900) -> ByteGRU:
     """Train on (language, text) samples, each also without accents and sentence by sentence.
 
     `rows` are labelled texts whose labels may be wrong: of their sentences those join a
@@ -345,8 +344,7 @@ def fit(samples: Iterable[tuple[str, str]], rows: Iterable[tuple[str, str]] = ()
     langs = sorted({lang for lang, _ in clean})
     texts, labels = [], []
     for lang, text in clean:
-        bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-        for form in sorted({text, bare}) if lang not in ("ru", "zh") else [text]:
+        for form in sorted({text, _bare(text)}) if lang not in ("ru", "zh") else [text]:
             for part in [form, *passages(form)]:
                 texts.append(as_bytes(part))
                 labels.append(langs.index(lang))
@@ -364,23 +362,33 @@ def fit(samples: Iterable[tuple[str, str]], rows: Iterable[tuple[str, str]] = ()
                 # Most of the text is of the label's language; a sentence that looks surely foreign is left out.
                 if ok and p[k] >= 0.2 and len(taken[k]) < FIT_PASSAGES:
                     taken[k][as_bytes(s)] = None
-    texts += [b for some in taken for b in some]
-    labels += [k for k, some in enumerate(taken) for _ in some]
+    for k, some in enumerate(taken):
+        for i, b in enumerate(some):
+            texts.append(b)
+            labels.append(k)
+            if i % 3 == 0 and langs[k] not in ("ru", "zh"):
+                texts.append(as_bytes(_bare(b.decode("utf-8", "replace"))))
+                labels.append(k)
     net = ByteGRU(langs)
     net.train(texts, labels, more)
     return net
 
 
+def _bare(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
 class Reader:
     """Labels the passages of texts; passages met again are looked up."""
 
-    def __init__(self, net: ByteGRU, remember: int = 300_000) -> None:
+    def __init__(self, net: ByteGRU, remember: int = 200_000) -> None:
         self.net, self.remember = net, remember
         self.known: dict[str, tuple[bool, np.ndarray, int]] = {}
+        self.read: dict[bytes, tuple[np.ndarray, int]] = {}
 
     def passages(self, texts: list[str | None]) -> list[list[tuple[bool, np.ndarray, int]]]:
         """Per text, for each of its passages: is it a sentence, probabilities, positions."""
-        known = self.known
+        known, read = self.known, self.read
         cut = [passages(t) if t else [] for t in texts]
         new = list({s: None for row in cut for s in row if s not in known})
         if len(known) + len(new) > self.remember:
@@ -388,10 +396,13 @@ class Reader:
             new = list({s: None for row in cut for s in row})
         if new:
             raw = list(map(as_bytes, new))
-            distinct = list(dict.fromkeys(raw))
-            probs = dict(zip(distinct, self._label(distinct)))
+            if len(read) > self.remember:
+                read.clear()
+            unread = list({b: None for b in raw if b not in read})
+            if unread:
+                read.update(zip(unread, self._label(unread)))
             for s, b in zip(new, raw):
-                known[s] = (sentence(s), *probs[b])
+                known[s] = (sentence(s), *read[b])
         return [[known[s] for s in row] for row in cut]
 
     def _label(self, items: list[bytes]) -> list[tuple[np.ndarray, int]]:
@@ -401,10 +412,9 @@ class Reader:
                 pieces.append(b[at : at + PIECE])
                 owner.append(i)
         p, n = self.net.read(pieces)
-        own = np.array(owner)
-        total = np.zeros((len(items), p.shape[1]), np.float32)
-        np.add.at(total, own, p * n[:, None])
-        count = np.bincount(own, weights=n, minlength=len(items)).astype(np.int64)
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        total = np.add.reduceat(p * n[:, None], starts, axis=0)
+        count = np.add.reduceat(n, starts)
         total /= count[:, None]
         return list(zip(total, count.tolist()))
 
@@ -453,8 +463,8 @@ def label_passages(df: DataFrame, samples: DataFrame, key: str = "doc_id", text:
     return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, passage_no int, lang string, confidence double, is_sentence boolean, n_chars int")
 
 
-#: Least confidence of a sentence that counts, and of the only sentence of its language in a text.
-SURE, SURE_ALONE = 0.6, 0.75
+#: Least confidence of a sentence that counts, of the surest of several in a language, and of the only one.
+SURE, SURE_BEST, SURE_ALONE = 0.6, 0.8, 0.9
 
 
 def label_documents(df: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", label: str | None = "lang") -> DataFrame:
@@ -466,14 +476,16 @@ def label_documents(df: DataFrame, samples: DataFrame, key: str = "doc_id", text
         for batch in _slices(batches):
             langs, sure, found = [], [], []
             for row in reader.passages(batch.column(1).to_pylist()):
-                total, positions = 0.0, 0
+                total, positions, said = 0.0, 0, 0.0
                 best: dict[int, list[float]] = {}
                 for ok, p, n in row:
                     total = total + p * n
                     positions += n
-                    k = int(p.argmax())
-                    if ok and p[k] >= SURE:
-                        best.setdefault(k, []).append(float(p[k]))
+                    if ok:
+                        said = said + p * n
+                        k = int(p.argmax())
+                        if p[k] >= SURE:
+                            best.setdefault(k, []).append(float(p[k]))
                 if positions:
                     k = int(total.argmax())
                     langs.append(reader.net.langs[k])
@@ -481,7 +493,10 @@ def label_documents(df: DataFrame, samples: DataFrame, key: str = "doc_id", text
                 else:
                     langs.append(None)
                     sure.append(None)
-                found.append(sorted(reader.net.langs[k] for k, c in best.items() if len(c) > 1 or c[0] >= SURE_ALONE))
+                sure_of = {k for k, c in best.items() if max(c) >= (SURE_BEST if len(c) > 1 else SURE_ALONE)}
+                if not sure_of and not isinstance(said, float):
+                    sure_of = {int(said.argmax())}  # a text with sentences has some language
+                found.append(sorted(reader.net.langs[k] for k in sure_of))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(found, pa.list_(pa.string()))],
                 [key, "lang", "confidence", "in_sentences"],
