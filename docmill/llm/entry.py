@@ -7,6 +7,7 @@ import importlib
 QUERIES = {}
 SQL = {}
 for _module, _names in (
+    ("scan", ("p1_repaired", "p1_found")),
     ("consensus", ("p3_consensus", "p3_found", "p3_reliability")),
     ("textstats", ("p2_stats", "p2_found")),
     ("splitting", ("p4_pieces", "p4_found")),

@@ -430,7 +430,7 @@ def _network(df: DataFrame, samples: DataFrame, key: str, text: str, label: str
         one = labelled(F.col(label))
         some = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), one.alias("l")).filter(F.size("l") == 1)
         keys = some.select("k").orderBy(F.xxhash64("k"), "k").limit(FIT_ROWS)
-        picked = df.select(F.col(key).alias("k"), F.col(text).alias("t"), one[0].alias("l")).join(F.broadcast(keys), "k", "left_semi")
+        picked = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.get(one, F.lit(0)).alias("l")).join(F.broadcast(keys), "k", "left_semi")
         rows = [(r.l, r.t) for r in picked.orderBy(F.xxhash64("k"), "k").limit(2 * FIT_ROWS).collect() if r.l]
     return fit(clean, rows)
 
