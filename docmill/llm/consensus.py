@@ -32,12 +32,12 @@ NUMBER = r'^"?\s*(?:y\d\s*[:=]\s*)?(-?\d+(?:\.\d+)?)\s*(?:%|(?:/|out of|of)\s*(\
 def number(answer: Column, low: int, high: int) -> Column:
     """The answer's number if some notation gives one within low..high, else null."""
     text = F.lower(F.trim(F.regexp_replace(answer, r"(?U)\s+", " ")))
-    value = F.regexp_extract(text, NUMBER, 1)
-    of = F.regexp_extract(text, NUMBER, 2)
-    plain = F.when((value != "") & ((of == "") | (of == str(high))), value.cast("double"))
-    for word, v in WORDS.items():
-        plain = F.when(text == word, float(v)).otherwise(plain)
-    return F.when((plain >= low) & (plain <= high), plain)
+    words = F.create_map(*(x for w, v in WORDS.items() for x in (F.lit(w), F.lit(float(v)))))
+    # The pattern's second group is what the number is out of; only the range's upper end is a notation.
+    value = F.regexp_extract(F.regexp_replace(text, NUMBER, "$1#$2"), rf"^(-?\d+(?:\.\d+)?)#(?:{high})?$", 1)
+    plain = F.coalesce(F.nullif(value, F.lit("")).try_cast("double"), F.try_element_at(words, text))
+    # A filter over one element keeps the number from being worked out twice.
+    return F.get(F.filter(F.array(plain), lambda x: x.between(low, high)), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -55,10 +55,7 @@ class Field:
 
     def level(self, value: Column) -> Column:
         """0-based level of a number; null stays null."""
-        out = F.lit(len(self.edges) - 1)
-        for k in range(len(self.edges) - 2, -1, -1):
-            out = F.when(value <= self.edges[k], k).otherwise(out)
-        return F.when(value.isNotNull(), out)
+        return sum((value > e).cast("int") for e in self.edges[:-1])
 
 
 Y4 = Field("y4", 1, 5, (1.5, 2.5, 3.5, 4.5, 5.0), (1, 2, 3, 4, 5))
@@ -141,14 +138,14 @@ def latest_answers(df: DataFrame) -> DataFrame:
 def grouped(df: DataFrame, names: list[str], fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """One row per item and field with its valid answers: (id, field, who array, what array)."""
     index = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("llm")) - 1
-    valid = [
-        F.struct(F.lit(i).alias("field"), f.level(number(F.col(f.name), f.low, f.high)).alias("what"))
-        for i, f in enumerate(fields)
-    ]
-    rows = df.select("id", index.cast("int").alias("who"), F.explode(F.array(*valid)).alias("v")).filter(F.col("v.what").isNotNull())
+    numbers = [F.struct(F.lit(i).alias("field"), number(F.col(f.name), f.low, f.high).alias("value")) for i, f in enumerate(fields)]
+    valid = df.select("id", index.cast("int").alias("who"), F.explode(F.array(*numbers)).alias("v")).filter(F.col("v.value").isNotNull())
+    field, value = F.col("v.field"), F.col("v.value")
+    level = F.coalesce(*(F.when(field == i, f.level(value)) for i, f in enumerate(fields)))
+    rows = valid.select("id", "who", field.alias("field"), level.alias("what"))
     return (
-        rows.groupBy("id", F.col("v.field").alias("field"))
-        .agg(F.sort_array(F.collect_list(F.struct("who", F.col("v.what").alias("what")))).alias("a"))
+        rows.groupBy("id", "field")
+        .agg(F.sort_array(F.collect_list(F.struct("who", "what"))).alias("a"))
         .select("id", "field", F.col("a.who").alias("who"), F.col("a.what").alias("what"))
     )
 
@@ -177,7 +174,7 @@ def fit(items: DataFrame, answerers: int, fields: tuple[Field, ...] = FIELDS, ro
     models = [Model(len(f.edges)) for f in fields]
     for m in models:
         m.start(answerers)
-    for _ in range(rounds):
+    for _ in range(rounds if answerers else 0):
 
         def step(batches: Iterator[pa.RecordBatch], models: list[Model] = models) -> Iterator[pa.RecordBatch]:
             sums = [(np.zeros((answerers, m.levels, m.levels)), np.zeros(m.levels)) for m in models]

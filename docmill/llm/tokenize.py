@@ -50,7 +50,7 @@ class Automaton:
     """The compiled tables and the encoder over them."""
 
     def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> None:
-        self.ids = vocab
+        self.ids = dict(vocab)
         size = max(vocab.values()) + 1
         self.born = [-1] * size
         self.row = [_START] * size
@@ -58,8 +58,12 @@ class Automaton:
         self.cut: dict[int, int] = {}
         self.size = size
         for rank, (u, v) in enumerate(merges):
+            if u not in self.ids or v not in self.ids or not self.arc(vocab[u], vocab[v]):
+                # No path has these arcs in a row, so no text ever leads to the merged token.
+                self.ids.pop(u + v, None)
+                continue
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        self.suffixes = {t[i:] for t in vocab for i in range(len(t))}
+        self.suffixes = {t[i:] for t in self.ids for i in range(len(t))}
         self._word: dict[str, bytes] = {}
         self._piece: dict[str, bytes | None] = {}
         self._first: dict[str, bytes] = {}
