@@ -18,3 +18,4 @@ for _module, _names in (
 ):
     _m = importlib.import_module(f"docmill.llm.{_module}")
     QUERIES |= {n: getattr(_m, n) for n in _names}
+    SQL |= getattr(_m, "SQL", {})

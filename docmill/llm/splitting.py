@@ -156,3 +156,23 @@ def p4_pieces(spark, sf_dir):
 def p4_found(spark, sf_dir):
     pieces = split_texts(spread(table(spark, sf_dir, "report_analysis_text")), "text_id", "pdf_text", with_text=False)
     return pieces.filter("piece_no = 0").select("text_id", "level")
+
+
+def _level_sql(limit: int = LIMIT) -> str:
+    """The first sufficient level by regular expressions: a mark behind every boundary, the longest stretch between marks."""
+    eol = r"(?:\r\n|[\n\r\x{0b}\x{85}\x{2028}\x{2029}])"
+    marks = (
+        ("page", r"(\f)", r"\1"), ("paragraph", rf"({eol}[^\S\n\r\x{{0b}}\x{{85}}\x{{2028}}\x{{2029}}\f]*{eol})", r"\1"), ("line", f"({eol})", r"\1"),
+        ("sentence", r"([.!?])([\s\p{Z}\x{85}\x{0b}])", r"\1#\2"), ("stop", r"([。！？])", r"\1"), ("word", r"([\s\p{Z}\x{85}\x{0b}\x{1c}-\x{1f}])", r"\1"),
+    )
+    steps, last = [f"s0 AS (SELECT text_id, pdf_text AS s FROM report_analysis_text WHERE length(pdf_text) > {limit})"], "s0"
+    for name, pattern, keep in marks:
+        new = "'" + (keep if "#" in keep else keep + "#").replace("#", "' || chr(1) || '") + "'"
+        steps.append(f"s_{name} AS (SELECT *, regexp_replace({'s' if last == 's0' else 's_' + last[2:]}, '{pattern}', {new}, 'g') AS s_{name} FROM {last})")
+        last = f"s_{name}"
+    longest = lambda name: f"list_max(list_transform(string_split(s_{name}, chr(1)), lambda x: length(x))) <= {limit}"
+    cases = " ".join(f"WHEN {longest('stop' if name == 'sentence' else name)} THEN '{name}'" for name, *_ in marks if name != "stop")
+    return f"WITH {', '.join(steps)} SELECT text_id, CASE {cases} ELSE 'char' END AS level FROM {last}"
+
+
+SQL = {"p4_found": _level_sql()}
