@@ -334,7 +334,7 @@ class ByteGRU:
         return probs, steps
 
 
-def fit(samples: Iterable[tuple[str, str]], rows: Iterable[tuple[str, str]] = (), steps: int = 300, more: int = 900) -> ByteGRU:
+def fit(samples: Iterable[tuple[str, str]], rows: Iterable[tuple[str, str]] = (), steps: int = 300, more: int = 1200) -> ByteGRU:
     """Train on (language, text) samples, each also without accents and sentence by sentence.
 
     `rows` are labelled texts whose labels may be wrong: of their sentences those join a
@@ -464,7 +464,7 @@ def label_passages(df: DataFrame, samples: DataFrame, key: str = "doc_id", text:
 
 
 #: Least confidence of a sentence that counts, of the surest of several in a language, and of the only one.
-SURE, SURE_BEST, SURE_ALONE = 0.6, 0.8, 0.9
+SURE, SURE_BEST, SURE_ALONE = 0.6, 0.9, 0.97
 
 
 def label_documents(df: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", label: str | None = "lang") -> DataFrame:
