@@ -3,16 +3,18 @@
 A record's content is its canonical address (organisation's host, path, numbers) and
 its text, if it has one. A rolling hash over the bytes sets chunk boundaries, so equal
 stretches give equal chunks wherever they lie; the list of a record's address chunks is
-hashed once more into one chunk of the next level. A persistent table maps each chunk
-to the first accepted record that has it. Looking up a record's chunks yields, per
-earlier record, the shared bytes; a record that is covered enough by one earlier record,
-and passes the exact check of organisation, year, volume and document number, repeats
-it; the chunks of all others are appended.
-
-A chunk has one holder, so a record has at most as many candidate pairs as chunks:
-no pairs within groups are ever made. Chunks that many rows share (a frequent host, a
-boilerplate) are looked up in a table of bounded size that is broadcast; all others by
-a shuffle on the chunk.
+hashed once more into one chunk of the next level, and so are its text, address and
+organisation. A persistent table maps each chunk to the accepted records that have it.
+Looking up a record's chunks yields, per earlier record, the shared bytes; a record that
+is covered enough by one earlier record, and passes the exact check of organisation,
+year, volume and document number, repeats it; the chunks of all others are appended.
+
+Only records of equal kin (organisation and numbers) can repeat each other, so texts are
+looked up by chunk and kin, with every holder. Whoever covers 0.8 of a text has one of
+any chunks that make up more than 0.2 of it: each text is looked up by its rarest such
+chunks, and what meets there is compared chunk by chunk, text and address. Copies equal
+in text, address and organisation are looked up as one. Digests that many rows share are
+looked up in a table of bounded size that is broadcast; all others by a shuffle.
 
 Defined results: a null address has no address chunks, such a row can only repeat one
 whose organisation is written alike and whose text covers it; a row with neither
@@ -31,7 +33,7 @@ from urllib.parse import unquote
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import materialise, spread, table
@@ -40,7 +42,7 @@ from docmill.llm.common import materialise, spread, table
 COVER_ADDRESS, COVER_TEXT = 0.8, 0.8
 #: A chunk held by more than one row in this many is frequent; so at most SHARE times a row's chunks are.
 SHARE = 2000
-_ADDRESS, _WHOLE, _TEXT = 0, 1, 2
+_ADDRESS, _WHOLE, _TEXT, _COPY = 0, 1, 2, 3
 
 _GEAR = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -173,7 +175,9 @@ def record_chunks(df: DataFrame, key: str, org: str, address: str, text: str | N
                 else:
                     whole = 0
                 body = t.encode("utf-8", "replace") if t else b""
-                parts += [(h, _TEXT, n) for h, n in chunks(body, 32, 9, 128, 4096)] if body.strip() else []
+                if body.strip():
+                    parts += [(h, _TEXT, n) for h, n in chunks(body, 32, 9, 128, 4096)]
+                    parts.append((_signed(b"\0".join((who.encode(), kin.encode(), body))), _COPY, 0))
                 digest = _signed(kin.encode())
                 for h, kind, n in parts:
                     for c, v in zip(cols, (k, h, kind, n, whole, digest, len(data), len(body))):
@@ -188,8 +192,12 @@ def record_chunks(df: DataFrame, key: str, org: str, address: str, text: str | N
 
 def chunk_table(rows: DataFrame) -> DataFrame:
     """(kind, chunk, holder, same, kin, rows): the first record of each chunk, by a combining aggregate."""
-    first = F.min(F.struct(F.col("id").alias("holder"), "same", "kin"))
-    return rows.groupBy("kind", "chunk").agg(first.alias("f"), F.count(F.lit(1)).alias("rows")).select("kind", "chunk", "f.*", "rows")
+    return _first(rows.withColumnRenamed("id", "holder"))
+
+
+def _first(holders: DataFrame) -> DataFrame:
+    first = F.min(F.struct("holder", "same", "kin"))
+    return holders.groupBy("kind", "chunk").agg(first.alias("f"), F.count(F.lit(1)).alias("rows")).select("kind", "chunk", "f.*", "rows")
 
 
 def lookup(rows: DataFrame, held: DataFrame, total_rows: int) -> DataFrame:
@@ -203,16 +211,60 @@ def lookup(rows: DataFrame, held: DataFrame, total_rows: int) -> DataFrame:
     is_frequent = frequent.select("kind", "chunk")
     hot = rows.join(frequent, on)
     cold = rows.join(is_frequent, on, "left_anti").join(rest, on)
-    met = hot.unionByName(cold).filter("holder < id")
+    return _covers(hot.unionByName(cold).filter("holder < id"))
+
+
+def _covers(met: DataFrame) -> DataFrame:
+    """Shared bytes of each pair, from a row per chunk that both have."""
     by = F.col("kind")
     return met.groupBy("id", "holder").agg(
         F.sum(F.when(by == _ADDRESS, F.col("n")).otherwise(0)).alias("address_bytes"),
         F.sum(F.when(by == _TEXT, F.col("n")).otherwise(0)).alias("text_bytes"),
-        F.max((by == _WHOLE).cast("int")).alias("whole"),
+        F.max((by.isin(_WHOLE, _COPY) & (F.col("own_address") > 0)).cast("int")).alias("whole"),
+        F.max((by == _COPY).cast("int")).alias("copy"),
         *(F.first(c).alias(c) for c in ("same", "kin", "h_same", "h_kin", "own_address", "own_text")),
     )
 
 
+def text_pairs(rows: DataFrame, holders: DataFrame) -> DataFrame:
+    """Each record's pairs with all earlier holders of equal kin that can cover its text: (id, holder)."""
+    text = F.col("kind") == _TEXT
+    held = holders.filter(text).select("chunk", "kin", "holder").distinct()
+    own = rows.filter(text).groupBy("id", "chunk", "kin", "own_text").agg(F.sum("n").alias("n"))
+    rare = own.join(held.groupBy("chunk", "kin").agg(F.count(F.lit(1)).alias("held")), ["chunk", "kin"])
+    before = Window.partitionBy("id").orderBy("held", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    rare = rare.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # A holder without any of these chunks lacks more than 1 - COVER_TEXT of the text; a byte more for rounding.
+    rare = rare.filter((F.col("before") <= F.col("own_text") * (1 - COVER_TEXT) + 1) & (F.col("held") > 1))
+    return rare.select("id", "chunk", "kin").join(held, ["chunk", "kin"]).filter("holder < id").select("id", "holder").distinct()
+
+
+def matches(rows: DataFrame, holders: DataFrame, total_rows: int, text: bool) -> DataFrame:
+    """Shared bytes of each record with every earlier one that it can repeat.
+
+    `holders` has a row per chunk and record, those of `rows` among them. Without
+    texts only equal addresses count, which the digests find.
+    """
+    digest = F.col("kind").isin(_WHOLE, _COPY)
+    held = materialise(_first(holders.filter(digest)), "p5-held")
+    equal = lookup(rows.filter(digest), held, total_rows)
+    if not text:
+        return equal
+    equal = materialise(equal, "p5-equal")
+    # What is equal to an earlier record in text, address and organisation has that one's pairs.
+    copies = equal.filter("copy = 1").groupBy("id").agg(F.min("holder").alias("of"))
+    once = rows.join(copies.select("id"), "id", "left_anti")
+    others = holders.join(copies.select(F.col("id").alias("holder")), "holder", "left_anti")
+    pairs = materialise(text_pairs(once, others), "p5-pairs")
+    theirs = holders.join(pairs.select("holder").distinct(), "holder", "left_semi").dropDuplicates(["kind", "chunk", "holder"])
+    theirs = theirs.select("kind", "chunk", "holder", F.col("same").alias("h_same"), F.col("kin").alias("h_kin"))
+    near = _covers(rows.join(pairs, "id").join(theirs, ["kind", "chunk", "holder"]))
+    near = materialise(near, "p5-near")
+    of_copies = near.withColumnRenamed("id", "of").join(copies, "of").select(*near.columns)
+    full = equal.withColumn("text_bytes", F.when(F.col("copy") == 1, F.col("own_text")).otherwise(F.col("text_bytes")))
+    return full.unionByName(near).unionByName(of_copies)
+
+
 def decide(met: DataFrame) -> DataFrame:
     """(dup_id, first_id, address_cover, text_cover, repeats) of each record that shares chunks with an earlier one."""
     address = F.when(F.col("whole") == 1, 1.0).otherwise(F.col("address_bytes") / F.greatest(F.col("own_address"), F.lit(1)))
@@ -234,8 +286,11 @@ def repeats(decided: DataFrame) -> DataFrame:
 def check_all(df: DataFrame, key: str, org: str, address: str, text: str | None = None) -> DataFrame:
     """All batches of a table at once: each row against the rows before it, in the order of key."""
     rows = materialise(record_chunks(spread(df), key, org, address, text), "p5-rows")
-    held = materialise(chunk_table(rows), "p5-held")
-    return decide(lookup(rows, held, rows.count()))
+    return decide(matches(rows, _holders(rows), rows.count(), text is not None))
+
+
+def _holders(rows: DataFrame) -> DataFrame:
+    return rows.select("kind", "chunk", F.col("id").alias("holder"), "same", "kin")
 
 
 def accept_batch(spark: SparkSession, batch: DataFrame, store: str, key: str, org: str, address: str, text: str | None = None) -> DataFrame:
@@ -246,18 +301,13 @@ def accept_batch(spark: SparkSession, batch: DataFrame, store: str, key: str, or
     earlier row of the batch. Appending the same batch again changes no result.
     """
     rows = materialise(record_chunks(batch, key, org, address, text), "p5-batch")
-    own = chunk_table(rows)
+    holders = _holders(rows)
     if _exists(spark, store):
-        old = spark.read.parquet(store).join(rows.select("kind", "chunk").distinct(), ["kind", "chunk"], "left_semi")
-        both = old.select(*own.columns).unionByName(own)
-        first = F.min(F.struct("holder", "same", "kin"))
-        held = both.groupBy("kind", "chunk").agg(first.alias("f"), F.sum("rows").alias("rows")).select("kind", "chunk", "f.*", "rows")
-        held = held.withColumn("rows", F.col("rows") + 1)
-    else:
-        held = own.withColumn("rows", F.col("rows") + 1)
-    found = materialise(repeats(decide(lookup(rows, held, rows.count()))), "p5-found")
+        met = spark.read.parquet(store).join(rows.select("kind", "chunk").distinct(), ["kind", "chunk"], "left_semi")
+        holders = materialise(met.unionByName(holders).dropDuplicates(["kind", "chunk", "holder"]), "p5-holders")
+    found = materialise(repeats(decide(matches(rows, holders, holders.count(), text is not None))), "p5-found")
     accepted = rows.join(found.select(F.col("dup_id").alias("id")), "id", "left_anti")
-    chunk_table(accepted).write.mode("append").parquet(store)
+    _holders(accepted).distinct().write.mode("append").parquet(store)
     return found
 
 
@@ -281,6 +331,11 @@ def p5_found(spark, sf_dir):
 
 def p5_coverage(spark, sf_dir):
     """Best text coverage by an earlier record of each text of report_analysis_text, repeat or not."""
-    d = check_all(table(spark, sf_dir, "report_analysis_text"), "text_id", "c1", "pdf_url", "pdf_text")
+    df = table(spark, sf_dir, "report_analysis_text")
+    rows = materialise(record_chunks(spread(df), "text_id", "c1", "pdf_url", "pdf_text"), "p5-rows")
+    n = rows.count()
+    held = materialise(chunk_table(rows), "p5-held")
+    # Every earlier record of the same kin, and of another kin the first holder of each chunk.
+    d = decide(lookup(rows, held, n)).unionByName(decide(matches(rows, _holders(rows), n, True)))
     best = F.max_by(F.struct("first_id", "address_cover", "text_cover", "repeats"), F.struct("text_cover", "address_cover", -F.col("first_id")))
     return d.groupBy("dup_id").agg(best.alias("b")).select("dup_id", "b.*")

@@ -71,6 +71,23 @@ def test_text_counts_where_there_is_no_address(spark):
     assert B.repeats(B.check_all(df.limit(0), "k", "c1", "u", "t")).count() == 0
 
 
+def test_every_holder_of_equal_kin_counts(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(rng.choice([f"w{i}" for i in range(900)], n))
+    shared, a, b = prose(1500), prose(1500), prose(1500)
+    host = "https://alba-civic-fund.example/files/"
+    data = [
+        (1, 0, "Alba", "https://other.example/x_2011.pdf", shared), (2, 0, "Alba", host + "members_2011.pdf", shared + a), (3, 1, "Alba", host + "annual_report_2011.pdf", shared + b),
+        (4, 1, "Alba", host + "annual_reports_2011.pdf", shared + b + " end"), (5, 2, "Alba", host + "annual_reports_2011.pdf", shared + b + " end"), (6, 2, "Alba", host + "annual_reports_2012.pdf", shared + b),
+    ]
+    df = spark.createDataFrame(data, "k long, b int, c1 string, u string, t string")
+    assert {tuple(r) for r in B.repeats(B.check_all(df, "k", "c1", "u", "t")).collect()} == {(3, 4), (3, 5)}
+    store, found = str(tmp_path / "chunks"), set()
+    for b in range(3):
+        found |= {tuple(r) for r in B.accept_batch(spark, df.filter(f"b = {b}"), store, "k", "c1", "u", "t").collect()}
+    assert found == {(3, 4), (3, 5)}
+
+
 def test_frequent_chunks_are_looked_up_alike(spark, monkeypatch):
     data = [(i, "o", f"https://hot.example/files/x_{i % 500}.pdf") for i in range(3000)]
     df = spark.createDataFrame(data, "k long, c1 string, u string")
