@@ -100,6 +100,7 @@ def plain(text: str) -> str:
 #: Path parts that name a view or a place of a copy, not a document.
 _VIEWS = {"view", "download", "print", "preview"}
 _MARKS = {"web", "final", "copy", "accessible", "print", "online", "lowres", "screen", "download"}
+_LOOSE = re.compile(r"(?<!\d)-|-(?!\d)")
 _SCHEME = re.compile(r"(?:https?|ftp):/+")
 
 
@@ -146,12 +147,15 @@ def canonical(address: str) -> tuple[str, str]:
 
 @lru_cache(maxsize=100_000)
 def identity(org: str | None, address: str | None) -> tuple[str, str, str]:
-    """(identity, kin, host): identity is all of a report's address; kin its organisation and numbers."""
+    """(identity, kin, host): identity is all of a report's address; kin its organisation and numbers.
+
+    Separators count between figures only, so names written with and without them are one.
+    """
     if not address or not address.strip():
         return "", "org:" + plain(org) if org and org.strip() else "", ""
     host, path = canonical(address)
     name = plain(host)
-    return f"{name} {path}", name + " " + " ".join(sorted(re.findall(r"\d+", path))), name
+    return f"{name} {_LOOSE.sub('', path)}", name + " " + " ".join(sorted(re.findall(r"\d+", path))), name
 
 
 def record_chunks(df: DataFrame, key: str, org: str, address: str, text: str | None) -> DataFrame:

@@ -21,6 +21,13 @@ def test_identity():
     assert len({B.identity(None, a)[0] for a in [SAME[0], *OTHER]}) == 1 + len(OTHER)
 
 
+def test_identity_without_separators():
+    one = {B.identity(None, f"https://some-league.example/files/{x}.pdf")[0] for x in ("annual-report-2011", "AnnualReport2011", "annual_report2011")}
+    assert len(one) == 1
+    two = {B.identity(None, f"https://some-league.example/files/{x}.pdf")[0] for x in ("report-1-12", "report-11-2", "report-112")}
+    assert len(two) == 3
+
+
 def test_boundaries_are_content_defined():
     rng = random.Random(2)
     data = bytes(rng.randrange(256) for _ in range(50_000))
