@@ -17,7 +17,7 @@ in text, address and organisation are looked up as one. Digests that many rows s
 looked up in a table of bounded size that is broadcast; all others by a shuffle.
 
 Defined results: a null address has no address chunks, such a row can only repeat one
-whose organisation is written alike and whose text covers it; a row with neither
+whose organisation is written alike and whose text covers it, with an address or not; a row with neither
 repeats nothing; rows with equal ids are one record.
 """
 
@@ -159,15 +159,15 @@ def identity(org: str | None, address: str | None) -> tuple[str, str, str]:
 
 
 def record_chunks(df: DataFrame, key: str, org: str, address: str, text: str | None) -> DataFrame:
-    """(id, chunk, kind, n, same, kin, own_address, own_text): a row per chunk.
+    """(id, chunk, kind, n, same, kin, named, own_address, own_text): a row per chunk.
 
-    `same` and `kin` are digests of the identity and the kin; `own_*` the bytes a record
-    has in all. A record without any content gives no row.
+    `same`, `kin` and `named` are digests of the identity, the kin and the organisation as
+    written, null without one; `own_*` the bytes a record has in all. A record without any content gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[int]] = [[] for _ in range(8)]
+            cols: list[list[int | None]] = [[] for _ in range(9)]
             texts = batch.column(3).to_pylist() if text else [None] * batch.num_rows
             for k, o, a, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts):
                 who, kin, _ = identity(o, a)
@@ -181,17 +181,18 @@ def record_chunks(df: DataFrame, key: str, org: str, address: str, text: str | N
                 body = t.encode("utf-8", "replace") if t else b""
                 if body.strip():
                     parts += [(h, _TEXT, n) for h, n in chunks(body, 32, 9, 128, 4096)]
-                    parts.append((_signed(b"\0".join((who.encode(), kin.encode(), body))), _COPY, 0))
+                    parts.append((_signed(b"\0".join((who.encode(), kin.encode(), plain(o or "").encode(), body))), _COPY, 0))
                 digest = _signed(kin.encode())
+                named = _signed(plain(o).encode()) if o and o.strip() else None
                 for h, kind, n in parts:
-                    for c, v in zip(cols, (k, h, kind, n, whole, digest, len(data), len(body))):
+                    for c, v in zip(cols, (k, h, kind, n, whole, digest, named, len(data), len(body))):
                         c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            names = ["id", "chunk", "kind", "n", "same", "kin", "own_address", "own_text"]
+            types = [pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            names = ["id", "chunk", "kind", "n", "same", "kin", "named", "own_address", "own_text"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
     cols = [F.col(key).cast("long").alias("id"), F.col(org), F.col(address)] + ([F.col(text)] if text else [])
-    return df.filter(F.col(key).isNotNull()).select(*cols).mapInArrow(run, "id long, chunk long, kind tinyint, n int, same long, kin long, own_address int, own_text int")
+    return df.filter(F.col(key).isNotNull()).select(*cols).mapInArrow(run, "id long, chunk long, kind tinyint, n int, same long, kin long, named long, own_address int, own_text int")
 
 
 def chunk_table(rows: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def _first(holders: DataFrame) -> DataFrame:
 
 def lookup(rows: DataFrame, held: DataFrame, total_rows: int) -> DataFrame:
     """Shared bytes of each record with each earlier holder of one of its chunks."""
-    held = held.select("kind", "chunk", "holder", F.col("same").alias("h_same"), F.col("kin").alias("h_kin"), "rows")
+    held = held.select("kind", "chunk", "holder", F.col("same").alias("h_same"), F.col("kin").alias("h_kin"), F.lit(None).cast("long").alias("h_named"), F.lit(None).cast("boolean").alias("h_placed"), "rows")
     limit = max(1000, total_rows // SHARE)
     # Every row counted in `rows` is one of total_rows, so fewer than SHARE chunks are frequent.
     frequent = F.broadcast(held.filter(F.col("rows") > limit).drop("rows"))
@@ -226,20 +227,37 @@ def _covers(met: DataFrame) -> DataFrame:
         F.sum(F.when(by == _TEXT, F.col("n")).otherwise(0)).alias("text_bytes"),
         F.max((by.isin(_WHOLE, _COPY) & (F.col("own_address") > 0)).cast("int")).alias("whole"),
         F.max((by == _COPY).cast("int")).alias("copy"),
-        *(F.first(c).alias(c) for c in ("same", "kin", "h_same", "h_kin", "own_address", "own_text")),
+        *(F.first(c).alias(c) for c in ("same", "kin", "named", "h_same", "h_kin", "h_named", "h_placed", "own_address", "own_text")),
     )
 
 
 def text_pairs(rows: DataFrame, holders: DataFrame) -> DataFrame:
-    """Each record's pairs with all earlier holders of equal kin that can cover its text: (id, holder)."""
+    """Each record's pairs with all earlier holders that can cover its text: (id, holder).
+
+    Those of equal kin, and where one of the two has no address those of equal organisation.
+    """
     text = F.col("kind") == _TEXT
-    held = holders.filter(text).select("chunk", "kin", "holder").distinct()
-    own = rows.filter(text).groupBy("id", "chunk", "kin", "own_text").agg(F.sum("n").alias("n"))
-    rare = own.join(held.groupBy("chunk", "kin").agg(F.count(F.lit(1)).alias("held")), ["chunk", "kin"])
+    rows, holders = rows.filter(text).withColumn("placed", F.col("own_address") > 0), holders.filter(text)
+    named = F.col("named").alias("kin")
+    bare_rows, bare_held = rows.filter("NOT placed"), holders.filter("NOT placed")
+    by_name = [c for c in rows.columns if c not in ("kin", "named")]
+    sides = (
+        (rows, holders),
+        (bare_rows.select(*by_name, named), holders.filter("placed").select("chunk", "holder", named)),
+        (rows.filter("placed").select(*by_name, named), bare_held.select("chunk", "holder", named)),
+    )
+    a, b, c = (_prefix_pairs(own, held) for own, held in sides)
+    return a.unionByName(b).unionByName(c).distinct()
+
+
+def _prefix_pairs(rows: DataFrame, holders: DataFrame) -> DataFrame:
+    held = holders.select("chunk", "kin", "holder").distinct()
+    own = rows.groupBy("id", "chunk", "kin", "own_text").agg(F.sum("n").alias("n"))
+    rare = own.join(held.groupBy("chunk", "kin").agg(F.count(F.lit(1)).alias("held")), ["chunk", "kin"], "left").fillna(0, ["held"])
     before = Window.partitionBy("id").orderBy("held", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     rare = rare.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     # A holder without any of these chunks lacks more than 1 - COVER_TEXT of the text; a byte more for rounding.
-    rare = rare.filter((F.col("before") <= F.col("own_text") * (1 - COVER_TEXT) + 1) & (F.col("held") > 1))
+    rare = rare.filter((F.col("before") <= F.col("own_text") * (1 - COVER_TEXT) + 1) & (F.col("held") > 0))
     return rare.select("id", "chunk", "kin").join(held, ["chunk", "kin"]).filter("holder < id").select("id", "holder").distinct()
 
 
@@ -261,7 +279,7 @@ def matches(rows: DataFrame, holders: DataFrame, total_rows: int, text: bool) ->
     others = holders.join(copies.select(F.col("id").alias("holder")), "holder", "left_anti")
     pairs = materialise(text_pairs(once, others), "p5-pairs")
     theirs = holders.join(pairs.select("holder").distinct(), "holder", "left_semi").dropDuplicates(["kind", "chunk", "holder"])
-    theirs = theirs.select("kind", "chunk", "holder", F.col("same").alias("h_same"), F.col("kin").alias("h_kin"))
+    theirs = theirs.select("kind", "chunk", "holder", F.col("same").alias("h_same"), F.col("kin").alias("h_kin"), F.col("named").alias("h_named"), F.col("placed").alias("h_placed"))
     near = _covers(rows.join(pairs, "id").join(theirs, ["kind", "chunk", "holder"]))
     near = materialise(near, "p5-near")
     of_copies = near.withColumnRenamed("id", "of").join(copies, "of").select(*near.columns)
@@ -276,9 +294,12 @@ def decide(met: DataFrame) -> DataFrame:
     covered = (address >= COVER_ADDRESS) & (F.col("same") == F.col("h_same")) & (F.col("own_address") > 0)
     # Without a common address: all of the text, and organisation and numbers alike.
     by_text = (words >= COVER_TEXT) & (F.col("kin") == F.col("h_kin")) & ((F.col("own_address") == 0) | (address >= 0.5))
+    # An address on one side only: the organisation as written.
+    one = (F.col("own_address") > 0) != F.col("h_placed")
+    by_name = (words >= COVER_TEXT) & one & (F.col("named") == F.col("h_named"))
     return met.select(
         F.col("id").alias("dup_id"), F.col("holder").alias("first_id"), address.alias("address_cover"),
-        words.alias("text_cover"), (covered | by_text).alias("repeats"),
+        words.alias("text_cover"), (covered | by_text | F.coalesce(by_name, F.lit(False))).alias("repeats"),
     )
 
 
@@ -294,7 +315,7 @@ def check_all(df: DataFrame, key: str, org: str, address: str, text: str | None
 
 
 def _holders(rows: DataFrame) -> DataFrame:
-    return rows.select("kind", "chunk", F.col("id").alias("holder"), "same", "kin")
+    return rows.select("kind", "chunk", F.col("id").alias("holder"), "same", "kin", "named", (F.col("own_address") > 0).alias("placed"))
 
 
 def accept_batch(spark: SparkSession, batch: DataFrame, store: str, key: str, org: str, address: str, text: str | None = None) -> DataFrame:

@@ -95,6 +95,22 @@ def test_every_holder_of_equal_kin_counts(spark, tmp_path):
     assert found == {(3, 4), (3, 5)}
 
 
+def test_text_without_address_repeats_an_addressed_one(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    text, other = (" ".join(rng.choice([f"w{i}" for i in range(900)], 1500)) for _ in range(2))
+    at = "https://alba-civic-fund.example/files/{}_2011.pdf"
+    data = [
+        (1, 0, "Alba Civic Fund", at.format("a"), text), (2, 1, "ALBA civic fund", None, text), (3, 1, "Other Fund", None, text),
+        (4, 1, "Alba Civic Fund", None, other), (5, 2, "Alba Civic Fund", at.format("b"), other + " end"), (6, 2, None, None, text),
+    ]
+    df = spark.createDataFrame(data, "k long, b int, c1 string, u string, t string")
+    assert {tuple(r) for r in B.repeats(B.check_all(df, "k", "c1", "u", "t")).collect()} == {(1, 2), (4, 5)}
+    store, found = str(tmp_path / "chunks"), set()
+    for b in range(3):
+        found |= {tuple(r) for r in B.accept_batch(spark, df.filter(f"b = {b}"), store, "k", "c1", "u", "t").collect()}
+    assert found == {(1, 2), (4, 5)}
+
+
 def test_frequent_chunks_are_looked_up_alike(spark, monkeypatch):
     data = [(i, "o", f"https://hot.example/files/x_{i % 500}.pdf") for i in range(3000)]
     df = spark.createDataFrame(data, "k long, c1 string, u string")
