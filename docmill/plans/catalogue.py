@@ -116,6 +116,24 @@ def text_truncate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(cut).alias("text_md5"), F.char_length(cut).cast("long").alias("n"))
 
 
+@query(
+    "SELECT text_id, "
+    + ", ".join(f"md5(array_to_string(list_transform(pages[1:{n}], lambda p: coalesce(p, '')), '')) AS {c}_md5" for c, n in (("classify", 15), ("analyse", 2000)))
+    + f" FROM {_PAGES}"
+)
+def page_concat_full(spark, sf_dir):
+    """Both stages' caps of pages, as in production."""
+    pages = F.col("pages")
+    return _pages(spark, sf_dir).select("text_id", F.md5(X.page_concat(pages, 15)).alias("classify_md5"), F.md5(X.page_concat(pages, 2000)).alias("analyse_md5"))
+
+
+@query("SELECT doc_id, md5(left(text, 200000)) AS text_md5, CAST(length(left(text, 200000)) AS BIGINT) AS n FROM documents")
+def text_truncate_full(spark, sf_dir):
+    """The cap of characters, as in production."""
+    cut = X.truncate(F.col("text"), 200_000)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cut).alias("text_md5"), F.char_length(cut).cast("long").alias("n"))
+
+
 @query("SELECT text_id, CAST(length(pdf_text) AS BIGINT) AS text_chars FROM report_filter")
 def text_stats(spark, sf_dir):
     return extract.text_stats(table(spark, sf_dir, "report_filter")).select("text_id", "text_chars")
@@ -153,6 +171,14 @@ def extract_pipeline(spark, sf_dir):
     return _extracted(spark, sf_dir).select("row_ordinal", "text_id", F.col("extract_status").alias("status"), F.md5("pdf_text").alias("text_md5"))
 
 
+@query("SELECT text_id, CASE WHEN pdf_text IS NULL THEN 'read_failed' ELSE 'ok' END AS status, md5(array_to_string(string_split(pdf_text, chr(12))[1:2000], '')) AS text_md5 FROM report_analysis_text")
+def extract_analyse(spark, sf_dir):
+    """Stage 2's extraction: 2,000 pages, no cap of characters."""
+    texts = table(spark, sf_dir, "report_analysis_text").select("text_id", "pdf_text", F.lit(True).alias("fetched"))
+    df = extract.replay_extract(texts.withColumn("pages", X.pages_of(F.col("pdf_text"))), "pages", "fetched", extract.ANALYSE)
+    return df.select("text_id", F.col("extract_status").alias("status"), F.md5("pdf_text").alias("text_md5"))
+
+
 # --- prompts ---------------------------------------------------------------
 
 

@@ -16,3 +16,7 @@ def con():
 @pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, con, name):
     oracle.same(QUERIES[name](spark, SF), con, SQL[name])
+
+
+def test_production_caps_are_registered():
+    assert {"page_concat_full", "text_truncate_full", "extract_analyse"} <= set(QUERIES) & set(SQL)
