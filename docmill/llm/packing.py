@@ -6,14 +6,13 @@ its items, not to the shard. A shard leaves at most a few bins badly filled, whi
 is nothing against its thousands of bins.
 
 Defined results: a text without tokens is in no container (null); a text above the
-capacity fills whole containers and its rest is packed like a text; repeated keys are
-packed once per row.
+capacity fills whole containers and its rest is packed like a text; repeated keys and
+null keys are packed once per row. The containers depend on keys and sizes only, not on
+how the input is partitioned.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +22,8 @@ from docmill.llm.common import materialise, spread, table
 from docmill.llm.tokenize import TOKENIZER, count_tokens
 
 CAPACITY, SHARD = 2048, 25_000
+#: Rows of equal key and size that are dealt to one shard together.
+BLOCK = 64
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -33,26 +34,32 @@ def best_two_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     better, as long as such a pair exists.
     """
     left = np.bincount(sizes, minlength=capacity + 1).tolist()
-    below = list(range(-1, capacity))  # next smaller size that may still have items
+    there = sum(1 << k for k in range(1, capacity + 1) if left[k])  # bit k: an item of size k is unpacked
+    up_to = [(2 << k) - 1 for k in range(capacity + 1)]
 
     def largest(limit: int) -> int:
-        k = limit
-        while k > 0 and not left[k]:
-            k = below[k]
-        k = max(k, 0)
-        i = limit
-        while i > k and not left[i]:  # shorten the way for later searches
-            below[i], i = k, below[i]
-        return k
+        """The largest unpacked size up to limit, 0 if there is none."""
+        return max((there & up_to[min(limit, capacity)]).bit_length() - 1, 0) if limit > 0 else 0
+
+    def take(k: int) -> None:
+        nonlocal there
+        left[k] -= 1
+        if not left[k]:
+            there ^= 1 << k
+
+    def put_back(k: int) -> None:
+        nonlocal there
+        left[k] += 1
+        there |= 1 << k
 
     def pair(limit: int, least: int) -> tuple[int, int] | None:
         """Two unpacked sizes with the largest sum within least < sum <= limit."""
         best, found = least, None
         a = largest(limit - 1)
         while a and 2 * a > best:
-            left[a] -= 1
+            take(a)
             b = largest(min(a, limit - a))
-            left[a] += 1
+            put_back(a)
             if b and a + b > best:
                 best, found = a + b, (a, b)
                 if best == limit:
@@ -65,7 +72,7 @@ def best_two_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     while top:
         gap, own = capacity, []
         while gap and (k := largest(gap)):
-            left[k] -= 1
+            take(k)
             own.append(k)
             gap -= k
         while gap and own:
@@ -74,20 +81,22 @@ def best_two_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             if two is None:
                 break
             own.pop()
-            left[small] += 1
             for k in two:
-                left[k] -= 1
+                take(k)
+            put_back(small)
             own = sorted([*own, *two], reverse=True)
             gap += small - sum(two)
         bins.append(own)
         top = largest(capacity)
     order = np.argsort(sizes, kind="stable")
     start = np.concatenate(([0], np.cumsum(np.bincount(sizes, minlength=capacity + 1)))).tolist()
-    out = np.empty(len(sizes), np.int64)
+    out = np.full(len(sizes), -1, np.int64)
     for number, own in enumerate(bins):
         for k in own:
             out[order[start[k]]] = number
             start[k] += 1
+    if (out < 0).any():
+        raise AssertionError("an item is in no container")
     return out
 
 
@@ -97,6 +106,7 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, shard: in
     shards = max(1, -(-sizes.count() // shard))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([key, "n_tokens"]).loc[lambda p: p.index.repeat(p["copies"])]  # in an order of its own
         size = pdf["n_tokens"].to_numpy(np.int64)
         rest = size % capacity
         bins = np.full(len(size), -1, np.int64)
@@ -120,8 +130,13 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, shard: in
             }
         )
 
-    # A null key and a repeated key spread like any other: the hash takes in the row's place.
-    dealt = sizes.withColumn("shard", F.pmod(F.xxhash64(key, "n_tokens", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    # Rows of equal key and size differ in nothing that is returned: they are dealt by their number, in
+    # blocks, so that the shards are the same however the input is partitioned, and no key fills a shard.
+    c = F.col("copies")
+    same = sizes.groupBy(key, "n_tokens").agg(F.count(F.lit(1)).alias("copies"))
+    blocks = same.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((c - 1) / BLOCK).cast("int"))))
+    blocks = blocks.withColumn("copies", F.least(F.lit(BLOCK), c - F.col("block") * BLOCK).cast("int"))
+    dealt = blocks.withColumn("shard", F.pmod(F.xxhash64(key, "n_tokens", "block"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInPandas(run, f"{key} long, container string, piece_no int, token_start long, n_tokens long")
 
 

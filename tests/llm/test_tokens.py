@@ -90,6 +90,64 @@ def test_bins_hold(sizes):
     assert len(used) <= 2 * -(-s.sum() // 64)
 
 
+@pytest.fixture(scope="module")
+def real_sizes():
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    sizes = np.array([len(ids(t)) for t in texts]) % K.CAPACITY
+    return sizes[sizes > 0]
+
+
+@pytest.mark.parametrize("n", [1000, 5000, 10_000])
+def test_shards_of_real_sizes_hold_every_item(real_sizes, n):
+    for seed in range(4):
+        s = np.random.default_rng(seed).choice(real_sizes, n)
+        bins = K.best_two_fit(s)
+        used = np.bincount(bins, weights=s)
+        assert bins.min() == 0 and len(bins) == n and used.max() <= K.CAPACITY and (used > 0).all()
+        assert len(used) <= -(-s.sum() // K.CAPACITY) + 2
+
+
+def plain_two_fit(sizes, capacity):
+    """The same rule with plain lists."""
+    rest, bins = sorted(sizes), []
+    while rest:
+        own = []
+        while some := [k for k in rest if k <= capacity - sum(own)]:
+            own.append(some[-1])
+            rest.remove(some[-1])
+        while sum(own) < capacity:
+            room, small = capacity - sum(own) + own[-1], own[-1]
+            pairs = [(a + b, a, b) for a, b in itertools.combinations(rest, 2) if small < a + b <= room]
+            if not pairs:
+                break
+            _, a, b = max((t, max(a, b), min(a, b)) for t, a, b in pairs)
+            own.pop()
+            for k in (a, b):
+                rest.remove(k)
+            rest = sorted([*rest, small])
+            own = sorted([*own, a, b], reverse=True)
+        bins.append(own)
+    return bins
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=14))
+def test_two_fit_against_plain_lists(sizes):
+    s = np.array(sizes)
+    bins = K.best_two_fit(s, 30)
+    got = sorted(tuple(sorted(s[bins == b].tolist())) for b in range(bins.max() + 1))
+    assert got == sorted(tuple(sorted(b)) for b in plain_two_fit(sizes, 30))
+
+
+def test_containers_do_not_depend_on_the_partitioning(spark):
+    rows = [(i % 40 if i % 3 else None, "word " * (i * 37 % 900)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    a, b = (sorted(map(str, K.pack(df.repartition(n), "k", "t", shard=100).collect())) for n in (1, 5))
+    assert a == b and len({r.split("container=")[1].split(",")[0] for r in a}) > 4
+
+
 def test_two_fit_replaces_the_smallest():
     # Greedy fills 60 + 30, the smallest gives way to 22 + 18.
     s = np.array([60, 30, 22, 18])
