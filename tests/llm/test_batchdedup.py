@@ -111,6 +111,97 @@ def test_text_without_address_repeats_an_addressed_one(spark, tmp_path):
     assert found == {(1, 2), (4, 5)}
 
 
+def test_coverage_of_addresses_decides(spark):
+    long = "https://alba-civic-fund.example/files/{}/full_statement_of_activities_and_of_accounts_of_the_members_and_the_schools_of_the_region_with_all_notes_and_remarks_of_the_auditors_for_the_whole_year_2011.pdf"
+    data = [(1, "A", long.format("report")), (2, "A", long.format("repart")), (3, "A", long.format("report").replace("members", "teachers").replace("region", "county")), (4, "A", long.format("report").replace("2011", "2012"))]
+    df = spark.createDataFrame(data, "k long, c1 string, u string")
+    who = [B.identity(*r[1:])[0].encode() for r in data]
+    size = lambda parts: sum(n for _, n in parts)
+    parts = [set(B.address_chunks(w)) for w in who]
+    cover = lambda i, j: size(parts[i] & parts[j]) / max(size(parts[i]), size(parts[j]))
+    assert who[0] != who[1] and cover(0, 1) >= B.COVER_ADDRESS > cover(0, 2)
+    assert {tuple(r) for r in B.repeats(B.check_all(df, "k", "c1", "u")).collect()} == {(1, 2)}
+
+
+def test_exact_copy_without_address_beside_boilerplate(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(rng.choice([f"w{i}" for i in range(900)], n))
+    shared = prose(2600)
+    a, b = shared + prose(1400), shared + prose(1400)
+    at = "https://alba-civic-fund.example/files/{}_2011.pdf"
+    df = spark.createDataFrame([(1, "Alba", at.format("one"), a), (2, "Alba", at.format("two"), b), (3, "Alba", None, b)], "k long, c1 string, u string, t string")
+    assert {tuple(r) for r in B.repeats(B.check_all(df, "k", "c1", "u", "t")).collect()} == {(2, 3)}
+
+
+def test_order_of_acceptance_counts_not_of_ids(spark, tmp_path):
+    at = "https://alba-civic-fund.example/files/one_2011.pdf"
+    one = lambda *ids: spark.createDataFrame([(i, "Alba", at) for i in ids], "k long, c1 string, u string")
+    accept = lambda df: {tuple(r) for r in B.accept_batch(spark, df, str(tmp_path / "s"), "k", "c1", "u").collect()}
+    assert accept(one(100)) == set()
+    assert accept(one(5, 7)) == {(100, 5), (100, 7)}
+    assert accept(one(100)) == set()  # a batch that comes again
+    assert accept(one(5, 7)) == {(100, 5), (100, 7)}
+
+
+def later_versions(n=220, seed=8):
+    """Texts of few organisations and years that add to, cut or quote earlier ones."""
+    rng = np.random.default_rng(seed)
+    prose = lambda k: " ".join(rng.choice([f"w{i}" for i in range(700)], k))
+    out = []
+    for i in range(n):
+        org, year = f"org-{rng.integers(3)}", 2010 + int(rng.integers(2))
+        t = prose(800)
+        if out and rng.random() < 0.7:
+            one = out[int(rng.integers(len(out)))]
+            old = one[3]
+            if rng.random() < 0.7:
+                org, year = one[1], one[4]
+            cut = int(rng.integers(len(old) // 2))
+            t = [old, old + prose(int(rng.integers(20, 500))), old[cut:], old[: len(old) - cut] + prose(100)][int(rng.integers(4))]
+        url = None if rng.random() < 0.2 else f"https://{org}.example/files/{prose(1)}_report_{year}.pdf"
+        out.append((i, org, url, t, year))
+    return [r[:4] for r in out]
+
+
+def one_by_one(data):
+    """Every record against every accepted one."""
+    accepted, found = [], set()
+    share = lambda x, y: sum(h & B._LENGTH for h in x & y)
+    for k, o, u, t in data:
+        who, kin, _ = B.identity(o, u)
+        a, w = {h for h, _ in B.address_chunks(who.encode())}, {h for h, _ in B.text_chunks(t.encode())}
+        for k2, kin2, o2, a2, w2 in accepted:
+            address = share(a, a2) / max(share(a, a), share(a2, a2), 1)
+            text = share(w, w2) / max(share(w, w), 1) >= B.COVER_TEXT
+            both, one = bool(a and a2), bool(a) != bool(a2)
+            if kin == kin2 and (both and address >= B.COVER_ADDRESS or text and (not both and not one or both and address >= 0.5)) or one and text and o == o2:
+                found.add((k2, k))
+                break
+        else:
+            accepted.append((k, kin, o, a, w))
+    return found
+
+
+def test_against_brute_force(spark, tmp_path):
+    data = later_versions()
+    want = one_by_one(data)
+    df = spark.createDataFrame(data, "k long, c1 string, u string, t string")
+    got = {tuple(r) for r in B.repeats(B.check_all(df, "k", "c1", "u", "t")).collect()}
+    assert len(want) > 25 and got == want  # a recall of 1
+    store, found = str(tmp_path / "chunks"), set()
+    for lo in range(0, len(data), 75):
+        found |= {tuple(r) for r in B.accept_batch(spark, df.filter(f"k >= {lo} AND k < {lo + 75}"), store, "k", "c1", "u", "t").collect()}
+    assert found == want
+
+
+def test_probes_do_not_depend_on_what_is_common(spark, monkeypatch):
+    data = rows(seed=9)
+    df = spark.createDataFrame(data, "k long, b int, c1 string, u string")
+    a = {tuple(r) for r in B.repeats(B.check_all(df, "k", "c1", "u")).collect()}
+    monkeypatch.setattr(B.probes, "__defaults__", (B.COVER_ADDRESS, 3))
+    assert a == {tuple(r) for r in B.repeats(B.check_all(df, "k", "c1", "u")).collect()}
+
+
 def test_frequent_chunks_are_looked_up_alike(spark, monkeypatch):
     data = [(i, "o", f"https://hot.example/files/x_{i % 500}.pdf") for i in range(3000)]
     df = spark.createDataFrame(data, "k long, c1 string, u string")
