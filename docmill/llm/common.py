@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docmill.session import materialise
 
-__all__ = ["arrow_stage", "materialise", "spread", "table"]
+__all__ = ["materialise", "read_file", "spread", "table", "write_file"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,18 +21,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def arrow_stage(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def small_batches(df: DataFrame, rows: int) -> DataFrame:
-    """Hint for stages over long texts: the session's Arrow batch size, where it is larger."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(conf.get(key, "10000")) > rows:
-        conf.set(key, str(rows))
-    return df
-
-
-def trimmed_lower(c: str):
-    return F.lower(F.trim(F.col(c)))
+def _file(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """A small file of any file system the session knows; None if it is not there."""
+    at, fs = _file(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """Written beside its place and renamed, so that no reader meets a part of it."""
+    at, fs = _file(spark, path)
+    part, _ = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(part)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    if not fs.rename(part, at):
+        fs.delete(part, False)  # another writer was first

@@ -5,7 +5,11 @@ of one learned vector per byte and place in the frame, two recurrent layers run
 directions, and a softmax labels every frame and so every byte. It is trained in numpy by
 backpropagation through time on the labelled samples, a table of fixed size, with random
 crops. A passage's probability is the mean over its positions, a document's the mean over
-all of its passages' positions.
+all of its passages' positions. A passage that mixes languages is cut where the labels of its
+positions turn, at the cost of a turn.
+
+A network is trained once for what it learns from: its weights lie in the session's shared
+folder under a digest of that, and all queries and later calls read them.
 
 Defined results: null, empty and blank texts have no passage and a null language; text
 without letters is labelled with low confidence and is no sentence; a repeated row gives the
@@ -14,6 +18,9 @@ same rows again (`p8_found`: once). Texts are read whole, whatever their length.
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -21,14 +28,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmill.llm.common import spread, table
+from docmill.llm.common import read_file, spread, table, write_file
+from docmill.session import shared_dir
 
 FRAME, HIDDEN, PIECE = 8, 32, 384
-#: Labelled rows that may join the samples for the second fit, and their passages per language.
-FIT_ROWS, FIT_PASSAGES = 3000, 2500
+#: Labelled rows that may join the samples for the second fit, their greatest length, and their passages per language.
+FIT_ROWS, FIT_CHARS, FIT_PASSAGES = 3000, 20_000, 2500
+#: Steps of both fits.
+FIRST_STEPS, SECOND_STEPS = 150, 800
+#: Bytes of a passage that are read by themselves to find turns between languages, what a turn costs in
+#: log probability, and the mean probability from which a passage is not cut.
+WINDOW, TURN, WHOLE = 40, 6.0, 0.97
 
 #: The languages with the codes and names that labels use.
 NAMES = {
@@ -230,10 +243,13 @@ class ByteGRU:
             dh = dh * z + drh * r + dzr @ layer.recur.T
         flat = dgates.reshape(-1, 3 * h)
         dembed = np.empty_like(layer.embed)
+        dembed[:] = 0
         for p in range(FRAME):
-            hot = np.zeros((flat.shape[0], 256), np.float32)
-            hot[np.arange(flat.shape[0]), x[:, :, p].ravel()] = 1
-            dembed[p] = hot.T @ flat
+            byte = x[:, :, p].ravel()
+            order = np.argsort(byte, kind="stable")
+            byte = byte[order]
+            starts = np.flatnonzero(np.diff(byte, prepend=np.uint8(byte[0] ^ 1)))
+            dembed[p, byte[starts]] = np.add.reduceat(flat[order], starts, axis=0)
         return [dembed, drecur, dcand]
 
     def train(self, texts: list[bytes], labels: list[int], steps: int, batch: int = 96, length: int = 12, rate: float = 0.012, seed: int = 9) -> None:
@@ -333,8 +349,40 @@ class ByteGRU:
             probs[part] = logits.sum(0) / n[:, None]
         return probs, steps
 
+    def runs(self, item: bytes) -> list[tuple[int, np.ndarray, int]]:
+        """The item's runs of one language, the likeliest if a turn costs TURN: (language, sum of probabilities, positions).
+
+        Windows are read by themselves: what stands far behind a turn would colour the positions before it.
+        """
+        p, n = self.read([item[at : at + WINDOW] for at in range(0, max(len(item), 1), WINDOW)])
+        logs = np.log(np.maximum(p, 1e-6)) * n[:, None]
+        score, back = logs[0], []
+        for row in logs[1:]:
+            best = int(score.argmax())
+            stay = score >= score[best] - TURN
+            back.append(np.where(stay, np.arange(len(score)), best))
+            score = np.where(stay, score, score[best] - TURN) + row
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path.reverse()
+        cuts = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
+        return [(path[a], (p[a:b] * n[a:b, None]).sum(0), int(n[a:b].sum())) for a, b in zip(cuts, cuts[1:])]
+
+    def dump(self) -> bytes:
+        to = io.BytesIO()
+        np.savez(to, langs=np.array(self.langs), bias=self.bias, **{f"p{i}_{k}": q for i, layer in enumerate(self.layers) for k, q in enumerate(layer.parts())})
+        return to.getvalue()
+
+    @staticmethod
+    def restore(data: bytes) -> ByteGRU:
+        got = np.load(io.BytesIO(data), allow_pickle=False)
+        net = ByteGRU(got["langs"].tolist())
+        net.bias, net.layers = got["bias"], [Layer(*(got[f"p{i}_{k}"] for k in range(4))) for i in range(2)]
+        return net
+
 
-def fit(samples: Iterable[tuple[str, str]], rows: Iterable[tuple[str, str]] = (), steps: int = 300, more: int = 1200) -> ByteGRU:
+def fit(samples: Iterable[tuple[str, str]], rows: Iterable[tuple[str, str]] = (), steps: int = FIRST_STEPS, more: int = SECOND_STEPS) -> ByteGRU:
     """Train on (language, text) samples, each also without accents and sentence by sentence.
 
     `rows` are labelled texts whose labels may be wrong: of their sentences those join a
@@ -385,6 +433,7 @@ class Reader:
         self.net, self.remember = net, remember
         self.known: dict[str, tuple[bool, np.ndarray, int]] = {}
         self.read: dict[bytes, tuple[np.ndarray, int]] = {}
+        self.cut: dict[str, list[tuple[int, np.ndarray, int, int]]] = {}
 
     def passages(self, texts: list[str | None]) -> list[list[tuple[bool, np.ndarray, int]]]:
         """Per text, for each of its passages: is it a sentence, probabilities, positions."""
@@ -405,6 +454,29 @@ class Reader:
                 known[s] = (sentence(s), *read[b])
         return [[known[s] for s in row] for row in cut]
 
+    def segments(self, s: str, p: np.ndarray, n: int) -> list[tuple[int, np.ndarray, int, int]]:
+        """(language, sum of probabilities, positions, characters) of a passage's stretches of one language."""
+        lang = int(p.argmax())
+        if p[lang] >= WHOLE or n < 6:
+            return [(lang, p * n, n, len(s))]
+        if s not in self.cut:
+            if len(self.cut) > self.remember:
+                self.cut.clear()
+            got = self.net.runs(as_bytes(s))
+            total, at, done, out = sum(c for _, _, c in got), 0, 0, []
+            for i, (k, sums, count) in enumerate(got):
+                done += count
+                end = len(s)
+                if i < len(got) - 1:
+                    # Positions cover bytes of the squeezed text: the nearest blank is the place in the passage.
+                    guess = len(s) * done // total
+                    blanks = [x for x in (s.rfind(" ", at, guess), s.find(" ", guess)) if x > at]
+                    end = min(blanks, key=lambda x: abs(x - guess)) + 1 if blanks else guess
+                out.append((k, sums, count, end - at))
+                at = end
+            self.cut[s] = out
+        return self.cut[s]
+
     def _label(self, items: list[bytes]) -> list[tuple[np.ndarray, int]]:
         pieces, owner = [], []
         for i, b in enumerate(items):
@@ -423,20 +495,37 @@ class Reader:
 
 
 def _network(df: DataFrame, samples: DataFrame, key: str, text: str, label: str | None) -> ByteGRU:
-    """Fit on the samples and at most FIT_ROWS rows whose label names one language, chosen by a hash of their key."""
+    """The network of the samples and of at most FIT_ROWS rows up to FIT_CHARS long whose label names one language.
+
+    These rows are chosen by a hash of their key. Trained only where the shared folder
+    has no network of the same input.
+    """
     clean = [(r.lang, r.text) for r in samples.select("lang", "text").orderBy("lang", "text").collect()]
     rows: list[tuple[str, str]] = []
     if label:
         one = labelled(F.col(label))
-        some = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), one.alias("l")).filter(F.size("l") == 1)
+        some = df.filter(F.char_length(text) <= FIT_CHARS).select(F.col(key).alias("k"), one.alias("l")).filter(F.size("l") == 1)
         keys = some.select("k").orderBy(F.xxhash64("k"), "k").limit(FIT_ROWS)
         picked = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.get(one, F.lit(0)).alias("l")).join(F.broadcast(keys), "k", "left_semi")
-        rows = [(r.l, r.t) for r in picked.orderBy(F.xxhash64("k"), "k").limit(2 * FIT_ROWS).collect() if r.l]
-    return fit(clean, rows)
+        picked = picked.filter(F.char_length("t") <= FIT_CHARS)
+        rows = [(r.l, r.t) for r in picked.orderBy(F.xxhash64("k"), "k", "t").limit(2 * FIT_ROWS).collect() if r.l]
+    return trained(df.sparkSession, clean, rows)
+
+
+def trained(spark: SparkSession, clean: list[tuple[str, str]], rows: list[tuple[str, str]]) -> ByteGRU:
+    """The network fitted on both, from the shared folder if it lies there."""
+    what = repr((FRAME, HIDDEN, FIRST_STEPS, SECOND_STEPS, FIT_PASSAGES, clean, rows)).encode("utf-8", "replace")
+    path = os.path.join(shared_dir(spark), f"p8-network-{hashlib.sha256(what).hexdigest()}.npz")
+    kept = read_file(spark, path)
+    if kept is not None:
+        return ByteGRU.restore(kept)
+    net = fit(clean, rows)
+    write_file(spark, path, net.dump())
+    return net
 
 
 def label_passages(df: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", label: str | None = "lang") -> DataFrame:
-    """(key, passage_no, lang, confidence, is_sentence, n_chars): neighbouring sentences of a language are one passage."""
+    """(key, passage_no, lang, confidence, is_sentence, n_chars): neighbouring sentences of a language are one passage, a sentence that mixes languages several."""
     shared = df.sparkSession.sparkContext.broadcast(_network(df, samples, key, text, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,13 +536,13 @@ def label_passages(df: DataFrame, samples: DataFrame, key: str = "doc_id", text:
             for k, t, row in zip(batch.column(0).to_pylist(), texts, reader.passages(texts)):
                 merged: list[list] = []
                 for (ok, p, n), s in zip(row, passages(t) if t else []):
-                    lang = int(p.argmax())
-                    if merged and merged[-1][0] == lang and merged[-1][2] == ok:
-                        merged[-1][1] += p * n
-                        merged[-1][3] += n
-                        merged[-1][4] += len(s)
-                    else:
-                        merged.append([lang, p * n, ok, n, len(s)])
+                    for lang, sums, count, chars in reader.segments(s, p, n):
+                        if merged and merged[-1][0] == lang and merged[-1][2] == ok:
+                            merged[-1][1] += sums
+                            merged[-1][3] += count
+                            merged[-1][4] += chars
+                        else:
+                            merged.append([lang, sums, ok, count, chars])
                 for i, (lang, p, ok, n, chars) in enumerate(merged):
                     for c, v in zip(cols, (k, i, reader.net.langs[lang], float(p[lang]) / n, ok, chars)):
                         c.append(v)

@@ -91,4 +91,21 @@ def test_documents(spark, network, monkeypatch):
     assert got == [(2, "en"), (3, "de"), (7, "de")]
     parts = L.label_passages(df, df).filter("doc_id = 3").orderBy("passage_no").collect()
     assert [p.lang for p in parts] == ["en", "de"] and all(p.confidence > 0.5 for p in parts)
+    mixed = "The board held meetings with the residents of the district, und der Vorstand prüfte in den entlegenen Gebieten die Jahresrechnung der Schule"
+    parts = L.label_passages(spark.createDataFrame([(1, mixed, None)], "doc_id long, text string, lang string"), df).orderBy("passage_no").collect()
+    assert [p.lang for p in parts] == ["en", "de"] and sum(p.n_chars for p in parts) == len(mixed) and abs(parts[0].n_chars - mixed.index("und")) <= L.WINDOW
     assert L.label_documents(df, df).filter("doc_id in (5, 6)").select("lang").distinct().first()[0] is None
+
+
+def test_a_network_is_trained_once(spark, monkeypatch):
+    import numpy as np
+
+    rows = [("en", "The board met twice this year."), ("de", "Der Vorstand traf sich zweimal.")]
+    monkeypatch.setattr(L, "FIRST_STEPS", 7)
+    net = L.ByteGRU(["de", "en"])
+    calls = []
+    monkeypatch.setattr(L, "fit", lambda *a: calls.append(a) or net)
+    first, second, other = L.trained(spark, rows, []), L.trained(spark, rows, []), L.trained(spark, rows[:1], [])
+    assert len(calls) == 2 and other is net
+    a, b = first.read([b"some words here"])[0], second.read([b"some words here"])[0]
+    assert second.langs == net.langs and np.array_equal(a, b)
