@@ -33,6 +33,24 @@ def test_kinds(spark):
     assert none.count() == 0
 
 
+def test_divergence_decides_not_the_majority_of_characters():
+    import duckdb
+    import numpy as np
+
+    samples = duckdb.sql(f"SELECT lang, text FROM '{SF}/lang_samples.parquet'").fetchall()
+    learned = X.Profiles.learn(samples, [r[0] for r in duckdb.sql(f"SELECT word FROM '{SF}/common_words.parquet'").fetchall()])
+    reader = X.Reader(learned)
+    parts = [t.split(". ")[0][:110] for lang, t in samples if lang == "en"][:14]
+    clauses, prose = "\n".join(f"({c}) {t[0].lower() + t[1:]}" for c, t in zip("abcdefghijklmn", parts)), ". ".join(parts)
+    for text, kind in ((clauses, "list"), (prose, "prose"), ("We thank all who were with us in the year. " * 30, "junk")):
+        found = reader.lines(text)
+        # Most characters are of the classes that most characters of prose are of.
+        most = np.argsort(-found.spread[:, : len(X.CLASSES)].mean(0))[:2]
+        if kind != "junk":
+            assert {X.CLASSES[i] for i in most} <= {"function", "likely", "middling"}
+        assert X._stats(reader, text)[0] == kind, text
+
+
 LABELS = [
     ("en", ["en"]), ("EN", ["en"]), ("en_GB", ["en"]), ("pt-BR", ["pt"]), ("es+en", ["en", "es"]), ("en & zh", ["en", "zh"]), ("русский", ["ru"]),
     ("Nederlands", ["nl"]), ("German and French", ["de", "fr"]), ("und", []), ("", []), (None, []), ("?", []), ("deu", ["de"]), ("zh-Hans", ["zh"]), ("mul", []), ("pt;en", ["en", "pt"]),
@@ -100,7 +118,9 @@ def test_documents(spark, network, monkeypatch):
 def test_a_network_is_trained_once(spark, monkeypatch):
     import numpy as np
 
-    rows = [("en", "The board met twice this year."), ("de", "Der Vorstand traf sich zweimal.")]
+    import uuid
+
+    rows = [("en", f"The board met twice this year. {uuid.uuid4()}"), ("de", "Der Vorstand traf sich zweimal.")]
     monkeypatch.setattr(L, "FIRST_STEPS", 7)
     net = L.ByteGRU(["de", "en"])
     calls = []
