@@ -56,14 +56,27 @@ def unfence(text: str) -> str:
     return text.removesuffix("```").strip()
 
 
-def decode(text: str | None) -> tuple[str, dict[str, Any] | None]:
-    """(status, object) of a raw reply, decoded strictly: trailing text and single quotes are errors."""
+def unfence_charset(text: str) -> str:
+    """The character style of fence removal on a Python string."""
+    return text.strip().strip("`json").strip("`").strip()
+
+
+def decode(text: str | None, charset: bool = False) -> tuple[str, dict[str, Any] | None]:
+    """(status, object) of a raw reply, decoded strictly: trailing text and single quotes are errors.
+
+    Stage 1 removes fences by their prefix, stage 2 by their characters (`charset`).
+    """
     if text is None:
         return CALL_FAILED, None
     try:
-        value = json.loads(unfence(text))
+        value = json.loads(unfence_charset(text) if charset else unfence(text))
     except ValueError:
         return BAD_JSON, None
     if not isinstance(value, dict):
         return NOT_OBJECT, None
     return (OK, value) if value else (EMPTY_OBJECT, None)
+
+
+def unreadable(status: str) -> bool:
+    """Whether a reply of this status is worth asking for again."""
+    return status == BAD_JSON

@@ -46,3 +46,8 @@ def ocr_gate_lenient(pages: Column) -> Column:
 def truncate(text: Column, max_chars: int = CLASSIFY_CHARS) -> Column:
     """The first code points of a text."""
     return F.substring(text, 1, max_chars)
+
+
+def url_prefix(url: Column, chars: int = 100) -> Column:
+    """The start of an address as run logs show it; null stays null."""
+    return F.substring(url, 1, chars)

@@ -17,6 +17,7 @@ from docmill.operators.provider import CallPolicy, ModelProvider, row_stage
 PROVIDERS = ("DeepSeek", "GPT", "Gemini")
 LEADER = "GPT"
 FAILED, ABSENT = "API failed", " "
+NO_TEXT = "no_text"
 
 _Y1 = T.StructType([T.StructField("y1_status", T.StringType()), T.StructField("y1", T.StringType())])
 _CHAIN = T.StructType(
@@ -52,53 +53,83 @@ def _texts(value: Any) -> bool:
 _FITS = {"Y1": lambda v: isinstance(v, str | None), "Y2": _integer, "Y3": _texts, "Y4": _integer}
 
 
-def _answer(raw: str | None, key: str) -> tuple[str, Any]:
-    status, got = R.decode(raw)
+def _ask(policy: CallPolicy, provider: ModelProvider, prompt: str, key: str, row: Mapping[str, Any]) -> tuple[str, Any]:
+    """(status, value) of one question; stage 2 removes fences by their characters."""
+    status, got = policy.ask(provider, prompt, key, row, lambda raw: R.decode(raw, charset=True), R.unreadable)
     if got is None:
         return status, None
     value = got.get(key)
     return (status, value) if _FITS[key](value) else (R.BAD_TYPE, None)
 
 
+def _skips(row: Mapping[str, Any], text: str, skip_null_text: bool) -> bool:
+    return skip_null_text and row[text] is None
+
+
 def shared_first_answer(
     df: DataFrame, provider: ModelProvider, url: str = "pdf_url", text: str = "pdf_text",
-    policy: CallPolicy = CallPolicy(), hints: tuple[str, ...] = (),
+    policy: CallPolicy = CallPolicy(), hints: tuple[str, ...] = (), skip_null_text: bool = False,
 ) -> DataFrame:
-    """Ask the first question once per source row, before the fan-out."""
-    needs = ("__prompt", *hints)
+    """Ask the first question once per source row, before the fan-out.
+
+    With `skip_null_text` a row without text is not asked about: its status is `no_text`.
+    """
+    needs = ("__prompt", text, *hints)
 
     def call(row: Mapping[str, Any]) -> Mapping[str, Any]:
-        status, value = _answer(policy.call(provider, row["__prompt"], "Y1", row), "Y1")
+        if _skips(row, text, skip_null_text):
+            return {"y1_status": NO_TEXT, "y1": None}
+        status, value = _ask(policy, provider, row["__prompt"], "Y1", row)
         return {"y1_status": status, "y1": value}
 
     asked = df.withColumn("__prompt", P.Y1.column(url=F.col(url), text=F.col(text)))
-    return row_stage(asked, _Y1, call, needs, drop=("__prompt",))
+    return row_stage(asked, _Y1, call, needs, drop=("__prompt",), threads=policy.threads, at_once=policy.at_once)
+
+
+def _questions(policy: CallPolicy, provider: ModelProvider, row: Mapping[str, Any], url: str, text: str, short_circuit: bool) -> dict[str, Any]:
+    """Y2, then Y3 with both answers, then Y4."""
+    out: dict[str, Any] = {f"y{k}_status": R.CALL_FAILED for k in (2, 3, 4)} | {"calls": 0}
+    if row["y1_status"] == NO_TEXT or short_circuit and row["y1_status"] != R.OK:
+        return out
+    base = {"url": row[url], "text": row[text], "y1": row["y1"], "y2": None}
+    for k, template in (("Y2", P.Y2), ("Y3", P.Y3), ("Y4", P.Y4)):
+        out["calls"] += 1
+        out[f"{k.lower()}_status"], out[k.lower()] = _ask(policy, provider, template.render(**base), k, row)
+        base["y2"] = out.get("y2")
+    return out
 
 
 def chain(
     df: DataFrame, providers: Mapping[str, ModelProvider], url: str = "pdf_url", text: str = "pdf_text",
     policy: CallPolicy = CallPolicy(), hints: tuple[str, ...] = (), short_circuit: bool = True,
 ) -> DataFrame:
-    """Ask Y2, then Y3 with both answers, then Y4, of the row's own provider.
+    """Ask Y2, then Y3 with both answers, then Y4, of the row's own provider, for rows that are already fanned out.
 
     With `short_circuit` nothing is asked after a failed Y1, since the gate would
-    discard it; `calls` counts the calls made. A null text is asked about as unknown.
+    discard it; `calls` counts the questions asked. A null text is asked about as unknown.
     """
     needs = (url, text, "llm", "y1", "y1_status", *hints)
+    call = lambda row: _questions(policy, providers[row["llm"]], row, url, text, short_circuit)
+    return row_stage(df, _CHAIN, call, needs, drop=(text, *hints), threads=policy.threads, at_once=policy.at_once)
+
+
+def chain_all(
+    df: DataFrame, providers: Mapping[str, ModelProvider], url: str = "pdf_url", text: str = "pdf_text",
+    policy: CallPolicy = CallPolicy(), hints: tuple[str, ...] = (), short_circuit: bool = True,
+) -> DataFrame:
+    """As `chain`, with the fan-out behind it: each row's text is read once for all providers, and answers are fanned out.
+
+    `llm` and `provider_ord` come in the order of `providers`.
+    """
+    each = T.StructType([T.StructField("provider_ord", T.IntegerType()), T.StructField("llm", T.StringType()), *_CHAIN.fields])
+    needs = (url, text, "y1", "y1_status", *hints)
 
     def call(row: Mapping[str, Any]) -> Mapping[str, Any]:
-        out: dict[str, Any] = {f"y{k}_status": R.CALL_FAILED for k in (2, 3, 4)} | {"calls": 0}
-        if short_circuit and row["y1_status"] != R.OK:
-            return out
-        base = {"url": row[url], "text": row[text], "y1": row["y1"], "y2": None}
-        for k, template in (("Y2", P.Y2), ("Y3", P.Y3), ("Y4", P.Y4)):
-            raw = policy.call(providers[row["llm"]], template.render(**base), k, row)
-            out["calls"] += 1
-            out[f"{k.lower()}_status"], out[k.lower()] = _answer(raw, k)
-            base["y2"] = out.get("y2")
-        return out
+        return {"__answers": [{"provider_ord": i, "llm": llm} | _questions(policy, p, row, url, text, short_circuit) for i, (llm, p) in enumerate(providers.items())]}
 
-    return row_stage(df, _CHAIN, call, needs, drop=(text, *hints))
+    gone = (text, *hints, *each.names)
+    asked = row_stage(df, T.StructType([T.StructField("__answers", T.ArrayType(each))]), call, needs, drop=gone, threads=policy.threads, at_once=policy.at_once)
+    return asked.select(*(F.col(f"`{c}`") for c in asked.columns if c != "__answers"), F.inline("__answers"))
 
 
 def gate(df: DataFrame) -> DataFrame:
@@ -122,8 +153,9 @@ def to_legacy_text(df: DataFrame) -> DataFrame:
 
 def analyse(
     df: DataFrame, providers: Mapping[str, ModelProvider], run_id: str, ordinal: str,
-    url: str = "pdf_url", text: str = "pdf_text", policy: CallPolicy = CallPolicy(), hints: tuple[str, ...] = (),
+    url: str = "pdf_url", text: str = "pdf_text", policy: CallPolicy = CallPolicy(), hints: tuple[str, ...] = (), skip_null_text: bool = False,
 ) -> DataFrame:
-    """Y1 once per row, fan-out, chain and gate: three rows per source row."""
-    first = shared_first_answer(df.withColumn("id", group_key(run_id, F.col(ordinal))), providers[LEADER], url, text, policy, hints)
-    return gate(chain(fan_out(first), providers, url, text, policy, hints))
+    """Y1 once per row, chains of all providers, fan-out and gate: a row per provider and source row."""
+    keyed = df.withColumn("id", group_key(run_id, F.col(ordinal)))
+    first = shared_first_answer(keyed, providers[LEADER], url, text, policy, hints, skip_null_text)
+    return gate(chain_all(first, providers, url, text, policy, hints))

@@ -24,8 +24,11 @@ VERDICT = T.StructType(
 
 
 def verdict(raw: str | None) -> dict[str, Any]:
-    """The three columns of a raw reply: defaults for absent keys, markers for a failed reply."""
-    status, got = R.decode(raw)
+    """The columns of a raw reply: defaults for absent keys, markers for a failed reply."""
+    return _verdict(*R.decode(raw))
+
+
+def _verdict(status: str, got: dict[str, Any] | None) -> dict[str, Any]:
     if got is not None:
         label, sure, why = got.get("is_annual_report", False), got.get("confidence", "unknown"), got.get("reason", "")
         if isinstance(label, bool | None) and isinstance(sure, str | None) and isinstance(why, str | None):
@@ -45,16 +48,17 @@ def classify(
     """Append status and the verdict columns. text=None judges by address alone.
 
     `hints` are further columns the provider reads; they, the prompt and the text
-    are not passed on. A null address is judged like any other.
+    are not passed on. A null address is judged like any other. A reply that is no JSON is
+    asked for again like a failed call.
     """
     prompt: Column = classify_prompt(F.col(url), F.col(text)) if text else CLASSIFY_URL.column(url=F.col(url))
     needs = ("__prompt", *hints)
 
     def call(row: Mapping[str, Any]) -> Mapping[str, Any]:
-        return verdict(policy.call(provider, row["__prompt"], "classify", row))
+        return _verdict(*policy.ask(provider, row["__prompt"], "classify", row, R.decode, R.unreadable))
 
     asked = df.withColumn("__prompt", prompt)
-    return row_stage(asked, VERDICT, call, needs, drop=(*needs, *([text] if text else [])))
+    return row_stage(asked, VERDICT, call, needs, drop=(*needs, *([text] if text else [])), threads=policy.threads, at_once=policy.at_once)
 
 
 def annual_only(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import io
 import os
 import subprocess
 import tempfile
+import time
 import urllib.request
 from collections.abc import Mapping
 from dataclasses import dataclass
@@ -33,7 +34,7 @@ class Ocr(Protocol):
 
 @dataclass(frozen=True)
 class HttpFetcher:
-    """GET with a time limit; any answer but 2xx raises. Not tested offline."""
+    """GET with a time limit; any answer but 2xx raises."""
 
     timeout: float = 30
 
@@ -42,6 +43,32 @@ class HttpFetcher:
             return got.read()
 
 
+@dataclass(frozen=True)
+class ColumnFetcher:
+    """A document that is already in a column of the row, as text or bytes; null was not found."""
+
+    column: str
+
+    @property
+    def needs(self) -> tuple[str, ...]:
+        return (self.column,)
+
+    def fetch_row(self, row: Mapping[str, Any]) -> bytes:
+        got = row[self.column]
+        if got is None:
+            raise LookupError("no document")
+        return got.encode("utf-8", "replace") if isinstance(got, str) else bytes(got)
+
+
+class TextReader:
+    """Pages of a plain text, cut at form feeds; an empty document has none and cannot be read."""
+
+    def pages(self, body: bytes) -> list[str | None]:
+        if not body:
+            raise ValueError("an empty document")
+        return list(body.decode("utf-8", "replace").split("\f"))
+
+
 class PdfReader:
     """Pages of a PDF by a library that is imported only here. Not tested offline."""
 
@@ -96,26 +123,33 @@ _OUT = T.StructType(
         T.StructField("extract_status", T.StringType()),
         T.StructField("extract_error", T.StringType()),
         T.StructField("used_ocr", T.BooleanType()),
+        T.StructField("extract_seconds", T.DoubleType()),
     ]
 )
 
 
 def extract(
     df: DataFrame, fetcher: Fetcher, reader: PageReader, policy: ExtractPolicy = CLASSIFY,
-    url: str = "pdf_url", ocr: Ocr | None = None,
+    url: str = "pdf_url", ocr: Ocr | None = None, threads: int = 1,
 ) -> DataFrame:
     """Append the text of each address, null on any error; the row always goes on.
 
-    Status is ok, no_url, fetch_failed, read_failed or ocr_failed. Bytes stay inside
-    the stage and never enter a shuffle.
+    Status is ok, no_url, fetch_failed, read_failed or ocr_failed; `extract_seconds` is the
+    time the document took. Bytes stay inside the stage and never enter a shuffle. A
+    fetcher with `needs` reads the document from those columns of the row.
     """
+    own = tuple(getattr(fetcher, "needs", ()))
 
     def call(row: Mapping[str, Any]) -> Mapping[str, Any]:
+        began = time.perf_counter()
+        return read(row) | {"extract_seconds": time.perf_counter() - began}
+
+    def read(row: Mapping[str, Any]) -> dict[str, Any]:
         at, used = "fetch_failed", False
         if row[url] is None:
             return {"extract_status": "no_url", "used_ocr": False}
         try:
-            body = fetcher.fetch(str(row[url]))
+            body = fetcher.fetch_row(row) if own else fetcher.fetch(str(row[url]))
             at = "read_failed"
             pages = reader.pages(body)
             if policy.wants_ocr(pages) and ocr is not None:
@@ -125,7 +159,7 @@ def extract(
         except Exception as e:  # whatever the source raises, the row gets a null text
             return {"extract_status": at, "extract_error": f"{type(e).__name__}: {e}", "used_ocr": used}
 
-    return row_stage(df, _OUT, call, (url,))
+    return row_stage(df, _OUT, call, (url, *own), drop=own, threads=threads)
 
 
 def replay_extract(df: DataFrame, pages: str, fetched: str, policy: ExtractPolicy = CLASSIFY) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmill.operators.provider import ModelProvider
+
 #: Provider, US dollars per million tokens in and out.
 PRICES = (("DeepSeek", 0.028, 0.42), ("GPT", 3.0, 0.75), ("Gemini", 1.25, 12.0))
 
@@ -15,6 +17,18 @@ def provider_prices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRICES, "provider string, usd_in double, usd_out double")
 
 
+def probe(provider: ModelProvider, row: Mapping[str, object] | None = None) -> Callable[[], str]:
+    """A trivial question to a provider; an empty reply counts as none."""
+
+    def ask() -> str:
+        reply = provider.complete("Reply with the word ok.", "probe", row or {})
+        if not reply:
+            raise ValueError("an empty reply")
+        return reply
+
+    return ask
+
+
 def provider_health(spark: SparkSession, probes: Mapping[str, Callable[[], object]]) -> DataFrame:
     """Run each probe on the driver; any exception means offline."""
 

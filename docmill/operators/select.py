@@ -5,39 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmill.spec import slice_bounds
-
 BLOCK = 1 << 20
 
 
+def _blocks(df: DataFrame, key: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their block, blocks with the position of their first row, their rows and the rows of all)."""
+    keyed = df.withColumn("__block", F.floor(F.col(key) / F.lit(block)))
+    counts = keyed.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy(F.col("__block").asc_nulls_first())
+    before = F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return keyed, counts.select(F.col("__block").alias("__b"), before.alias("__offset"), "__n", total.alias("__total"))
+
+
+def _ranked(keyed: DataFrame, blocks: DataFrame, key: str, out: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("__block").orderBy(F.col(key).asc_nulls_first()))
+    met = keyed.join(blocks, F.col("__block").eqNullSafe(F.col("__b")))
+    return met.withColumn(out, (F.col("__offset") + rank - 1).cast("long")).drop("__block", "__b", "__offset", "__n", "__total")
+
+
 def with_position(df: DataFrame, key: str, out: str = "pos", block: int = BLOCK) -> DataFrame:
     """Add the 0-based rank of a unique long key as column `out`.
 
     Two levels: rows are counted per key block, the block counts are summed up
     (one row per block: a billionth of 100 TB of rows), and each block is ranked by
-    itself. No task sees more than `block` rows. Rows whose key is null come
-    first; repeated keys are ranked in arbitrary order. A clash of `out` overwrites.
+    itself. A task sees `block` rows of a unique key at most; null keys, and the rows of
+    a key that is not unique, are ranked together. Null keys come first; repeated keys are ranked in
+    arbitrary order. A clash of `out` overwrites.
+    """
+    return _ranked(*_blocks(df, key, block), key, out)
+
+
+def slice_rows(df: DataFrame, key: str, start: int | None, end: int | None, out: str = "pos", block: int = BLOCK) -> DataFrame:
+    """Rows `start:end` in the order of key, with Python's slice rules; negatives count from the end.
+
+    The counts choose the blocks that the slice touches; only their rows are shuffled and ranked.
     """
-    b, off = "__block", "__offset"
-    keyed = df.withColumn(b, F.floor(F.col(key) / F.lit(block)))
-    counts = keyed.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(b).alias("__b"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias(off))
-    rank = F.row_number().over(Window.partitionBy(b).orderBy(F.col(key).asc_nulls_first()))
-    return (
-        keyed.join(offsets, F.col(b).eqNullSafe(F.col("__b")), "left")
-        .withColumn(out, (F.col(off) + rank - 1).cast("long"))
-        .drop(b, "__b", off)
-    )
-
-
-def slice_rows(df: DataFrame, key: str, start: int | None, end: int | None, out: str = "pos") -> DataFrame:
-    """Rows `start:end` in the order of key, with Python's slice rules; negatives count from the end."""
-    placed = with_position(df, key, out)
-    if (start or 0) < 0 or (end is not None and end < 0):
-        start, end = slice_bounds(df.count(), start, end)
-    cond: Column = F.col(out) >= (start or 0)
-    return placed.filter(cond if end is None else cond & (F.col(out) < end))
+    keyed, blocks = _blocks(df, key, block)
+    from_end = lambda k: F.col("__total") + k if k < 0 else F.lit(k)
+    lo = F.greatest(from_end(start or 0), F.lit(0))
+    hi = F.col("__total") if end is None else from_end(end)
+    touched = blocks.withColumns({"__lo": lo, "__hi": hi}).filter((F.col("__offset") < F.col("__hi")) & (F.col("__offset") + F.col("__n") > F.col("__lo")))
+    inside: Column = (F.col(out) >= F.col("__lo")) & (F.col(out) < F.col("__hi"))
+    return _ranked(keyed, touched, key, out).filter(inside).drop("__lo", "__hi")
 
 
 def with_batch(df: DataFrame, size: int, pos: str = "pos", out: str = "batch_num") -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,16 +35,41 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
-    if not spark.conf.get("spark.master", "local").startswith("local["):
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    path = "file://" + tempfile.mkdtemp(prefix="docmill-")
+    folder = tempfile.mkdtemp(prefix="docmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+_WRITTEN: list[str] = []
+
+
+def place(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared folder, removed by `clear`."""
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The folder stays until `clear`, since results are read from it lazily.
+    """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = place(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the folders this program has written so far, once no result is read from them any more; returns how many."""
+    done = 0
+    while _WRITTEN:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return done
