@@ -44,11 +44,12 @@ def classify(
     text: str | None = "pdf_text",
     policy: CallPolicy = CallPolicy(),
     hints: tuple[str, ...] = (),
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Append status and the verdict columns. text=None judges by address alone.
 
     `hints` are further columns the provider reads; they, the prompt and the text
-    are not passed on. A null address is judged like any other. A reply that is no JSON is
+    are not passed on, but for those in `keep`. A null address is judged like any other. A reply that is no JSON is
     asked for again like a failed call.
     """
     prompt: Column = classify_prompt(F.col(url), F.col(text)) if text else CLASSIFY_URL.column(url=F.col(url))
@@ -58,7 +59,7 @@ def classify(
         return _verdict(*policy.ask(provider, row["__prompt"], "classify", row, R.decode, R.unreadable))
 
     asked = df.withColumn("__prompt", prompt)
-    return row_stage(asked, VERDICT, call, needs, drop=(*needs, *([text] if text else [])), threads=policy.threads, at_once=policy.at_once)
+    return row_stage(asked, VERDICT, call, needs, drop=tuple(c for c in (*needs, *([text] if text else [])) if c not in keep), threads=policy.threads, at_once=policy.at_once)
 
 
 def annual_only(df: DataFrame) -> DataFrame:

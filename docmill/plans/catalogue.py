@@ -7,18 +7,20 @@ form feeds. Every query covers its whole tables.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docmill import job
 from docmill.functions import reply as R
 from docmill.functions import template as P
 from docmill.functions import text as X
 from docmill.operators import analyze, classify, extract, health, provider, select, sinks
-from docmill.session import shared_dir
+from docmill.session import place
 from docmill.sources.csvsource import read_csv
+from docmill.spec import RunSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,23 +144,30 @@ def text_stats(spark, sf_dir):
 # --- fetch and extract, replayed -------------------------------------------
 
 _FETCHED = "(SELECT f.row_ordinal, f.c3, r.text_id, r.pdf_text, r.text_id IS NOT NULL AS fetched FROM filter_output f LEFT JOIN (SELECT DISTINCT * FROM report_filter) r ON f.row_ordinal = r.row_ordinal)"
-_STATUS = "CASE WHEN NOT fetched THEN 'fetch_failed' WHEN pdf_text IS NULL THEN 'read_failed' ELSE 'ok' END"
+_STATUS = "CASE WHEN c3 IS NULL THEN 'no_url' WHEN NOT fetched THEN 'fetch_failed' WHEN coalesce(pdf_text, '') = '' THEN 'read_failed' ELSE 'ok' END"
+
+
+def _texts_of_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage-1 text once, already where the join on its row needs it: rows delivered twice are equal in every column."""
+    texts = table(spark, sf_dir, "report_filter").select("row_ordinal", "text_id", "pdf_text")
+    return texts.repartition("row_ordinal").dropDuplicates(["row_ordinal", "text_id"])
 
 
 def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "filter_output").select("row_ordinal", "c3")
-    texts = table(spark, sf_dir, "report_filter").select("row_ordinal", "text_id", "pdf_text").distinct()
-    return rows.join(texts, "row_ordinal", "left").withColumn("fetched", F.col("text_id").isNotNull())
+    return rows.join(_texts_of_rows(spark, sf_dir), "row_ordinal", "left").withColumn("fetched", F.col("text_id").isNotNull())
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _fetched(spark, sf_dir).withColumn("pages", X.pages_of(F.col("pdf_text")))
-    return extract.replay_extract(df, "pages", "fetched", extract.CLASSIFY)
+    """Stage 1's extraction by the operator itself; a document is the stored text, one that cannot be read is empty."""
+    df = _fetched(spark, sf_dir).withColumn("document", F.when(F.col("fetched"), F.coalesce("pdf_text", F.lit("")))).drop("pdf_text")
+    return extract.extract(df, extract.ColumnFetcher("document"), extract.TextReader(), extract.CLASSIFY, "c3")
 
 
-@query("SELECT row_ordinal, c3, text_id, fetched FROM " + _FETCHED)
+@query(f"SELECT row_ordinal, left(c3, 100) AS url_prefix, text_id, {_STATUS} NOT IN ('no_url', 'fetch_failed') AS fetched FROM {_FETCHED}")
 def fetch_outcome(spark, sf_dir):
-    return _fetched(spark, sf_dir).select("row_ordinal", "c3", "text_id", "fetched")
+    got = ~F.col("extract_status").isin("no_url", "fetch_failed")
+    return _extracted(spark, sf_dir).select("row_ordinal", X.url_prefix(F.col("c3")).alias("url_prefix"), "text_id", got.alias("fetched"))
 
 
 @query(f"SELECT {_STATUS} AS status, count(*) AS n FROM {_FETCHED} GROUP BY 1")
@@ -166,16 +175,16 @@ def extract_status(spark, sf_dir):
     return _extracted(spark, sf_dir).groupBy(F.col("extract_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT row_ordinal, text_id, {_STATUS} AS status, md5(left(array_to_string(string_split(pdf_text, chr(12))[1:15], ''), 200000)) AS text_md5 FROM {_FETCHED}")
+@query(f"SELECT row_ordinal, text_id, {_STATUS} AS status, CASE WHEN {_STATUS} = 'ok' THEN md5(left(array_to_string(string_split(pdf_text, chr(12))[1:15], ''), 200000)) END AS text_md5 FROM {_FETCHED}")
 def extract_pipeline(spark, sf_dir):
     return _extracted(spark, sf_dir).select("row_ordinal", "text_id", F.col("extract_status").alias("status"), F.md5("pdf_text").alias("text_md5"))
 
 
-@query("SELECT text_id, CASE WHEN pdf_text IS NULL THEN 'read_failed' ELSE 'ok' END AS status, md5(array_to_string(string_split(pdf_text, chr(12))[1:2000], '')) AS text_md5 FROM report_analysis_text")
+@query("SELECT text_id, CASE WHEN pdf_url IS NULL THEN 'no_url' WHEN pdf_text IS NULL THEN 'fetch_failed' WHEN pdf_text = '' THEN 'read_failed' ELSE 'ok' END AS status, CASE WHEN pdf_url IS NOT NULL AND pdf_text != '' THEN md5(array_to_string(string_split(pdf_text, chr(12))[1:2000], '')) END AS text_md5 FROM report_analysis_text")
 def extract_analyse(spark, sf_dir):
     """Stage 2's extraction: 2,000 pages, no cap of characters."""
-    texts = table(spark, sf_dir, "report_analysis_text").select("text_id", "pdf_text", F.lit(True).alias("fetched"))
-    df = extract.replay_extract(texts.withColumn("pages", X.pages_of(F.col("pdf_text"))), "pages", "fetched", extract.ANALYSE)
+    texts = table(spark, sf_dir, "report_analysis_text").select("text_id", "pdf_url", F.col("pdf_text").alias("document"))
+    df = extract.extract(texts, extract.ColumnFetcher("document"), extract.TextReader(), extract.ANALYSE)
     return df.select("text_id", F.col("extract_status").alias("status"), F.md5("pdf_text").alias("text_md5"))
 
 
@@ -278,10 +287,45 @@ def reply_envelope(spark, sf_dir):
     return _replies(spark, sf_dir).select("row_ordinal", R.reply_content(envelope).alias("content"))
 
 
-@query(f"SELECT row_ordinal, json_extract_string(reply, '$.confidence') AS confidence, json_extract_string(reply, '$.reason') AS reason, CAST(json_extract_string(reply, '$.is_annual_report') AS BOOLEAN) AS is_annual_report FROM {_SQL_REPLIES}")
+#: Replies with every kind of fault, by the row's number.
+_FAULTS = ((1, "{r} and so on", "bad_json"), (2, "[{r}]", "not_object"), (3, "{{}}", "empty_object"), (4, "7", "not_object"), (5, "{{'confidence': 'high'}}", "bad_json"))
+_FAULT_CASE = lambda out: "".join(f" WHEN row_ordinal % 13 = {k} THEN {out(t, s)}" for k, t, s in _FAULTS)
+_SQL_FAULTY = (
+    "(SELECT row_ordinal, CASE WHEN reply IS NULL THEN 'call_failed'" + _FAULT_CASE(lambda t, s: f"'{s}'") + " ELSE 'ok' END AS status, is_annual_report, confidence, classification_reason FROM " + _SQL_REPLIES + ")"
+)
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, made = F.col("reply"), F.col("reply")
+    for k, text, _ in _FAULTS:
+        before, there, behind = text.partition("{r}")
+        parts = [F.lit(x.replace("{{", "{").replace("}}", "}")) for x in (before, behind)]
+        made = F.when(F.col("row_ordinal") % 13 == k, F.concat(parts[0], r, parts[1]) if there else F.when(r.isNotNull(), parts[0])).otherwise(made)
+    return _replies(spark, sf_dir).select("row_ordinal", made.alias("reply"))
+
+
+_PARSED = T.StructType([T.StructField(n, t) for n, t in (("status", T.StringType()), ("is_annual_report", T.BooleanType()), ("confidence", T.StringType()), ("reason", T.StringType()))])
+
+
+@query("SELECT row_ordinal, status, CASE WHEN status = 'ok' THEN is_annual_report END AS is_annual_report, CASE WHEN status = 'ok' THEN confidence END AS confidence, CASE WHEN status = 'ok' THEN classification_reason END AS reason FROM " + _SQL_FAULTY)
 def parse_reply(spark, sf_dir):
-    got = F.from_json("reply", "is_annual_report boolean, confidence string, reason string", {"allowSingleQuotes": "false"})
-    return _replies(spark, sf_dir).select("row_ordinal", got["confidence"].alias("confidence"), got["reason"].alias("reason"), got["is_annual_report"].alias("is_annual_report"))
+    """The strict decoding of replies, faulty ones among them."""
+
+    def parsed(row):
+        status, got = R.decode(row["reply"])
+        return {"status": status} | (got or {})
+
+    return provider.row_stage(_faulty(spark, sf_dir), _PARSED, parsed, ("reply",), drop=("reply",))
+
+
+@query("SELECT row_ordinal, CASE WHEN status IN ('ok', 'bad_json') THEN 'ok' ELSE status END AS status, CASE WHEN status IN ('ok', 'bad_json') THEN is_annual_report END AS is_annual_report FROM " + _SQL_FAULTY)
+def retry_unreadable(spark, sf_dir):
+    """Replies that are no JSON at the first try and good at the second; other faults are not asked for again."""
+    good = _replies(spark, sf_dir).select("row_ordinal", F.col("reply").alias("second"))
+    df = _faulty(spark, sf_dir).withColumnRenamed("reply", "first").join(good, "row_ordinal").withColumn("pdf_url", F.lit("u"))
+    policy = provider.CallPolicy(tries=2, base=0.0)
+    out = classify.classify(df, provider.TriesProvider(("first", "second")), text=None, policy=policy, hints=("row_ordinal", "first", "second"), keep=("row_ordinal",))
+    return out.select("row_ordinal", "status", "is_annual_report")
 
 
 _SQL_PARTIAL = """(SELECT row_ordinal, CASE WHEN c2 IS NULL THEN '{"other": 1}' WHEN c5 IS NULL THEN '{"confidence": null}' ELSE '{"confidence": "' || c2 || '"}' END AS reply FROM filter_output)"""
@@ -304,8 +348,7 @@ def reply_defaults(spark, sf_dir):
 def _classified(spark: SparkSession, sf_dir: str, text: bool) -> DataFrame:
     replies = _replies(spark, sf_dir).select("row_ordinal", F.col("c3").alias("pdf_url"), F.col("reply").alias("replay"))
     if text:
-        texts = table(spark, sf_dir, "report_filter").select("row_ordinal", "text_id", "pdf_text").distinct()
-        replies = replies.join(texts, "row_ordinal", "left")
+        replies = replies.join(_texts_of_rows(spark, sf_dir), "row_ordinal", "left")
     return classify.classify(replies, provider.ReplayProvider(), text="pdf_text" if text else None, hints=("replay",))
 
 
@@ -332,10 +375,13 @@ def annual_only(spark, sf_dir):
     return classify.annual_only(table(spark, sf_dir, "filter_output")).select("row_ordinal", "c3")
 
 
-@query("SELECT row_ordinal, c1, upper(c2) AS c2, c4, is_annual_report FROM filter_output")
+@query(f"SELECT row_ordinal, c1, c2, {_SQL_VERDICT} FROM filter_output")
 def overwrite_column(spark, sf_dir):
-    df = table(spark, sf_dir, "filter_output").select("row_ordinal", "c1", "c2", "c4", "is_annual_report")
-    return df.withColumn("c2", F.upper("c2"))
+    """A second run over stage 1's own output: its old verdict columns are overwritten in place."""
+    old = table(spark, sf_dir, "filter_output").select("row_ordinal", "c1", "c2", F.col("c3").alias("pdf_url"), (~F.col("is_annual_report")).alias("is_annual_report"), F.lit("old").alias("confidence"), F.lit(1).alias("classification_reason"))
+    df = old.join(_replies(spark, sf_dir).select("row_ordinal", F.col("reply").alias("replay")), "row_ordinal")
+    out = classify.classify(df, provider.ReplayProvider(), text=None, hints=("replay",))
+    return out.select("row_ordinal", "c1", "c2", "is_annual_report", "status", "confidence", "classification_reason")
 
 
 # --- stage 2 ---------------------------------------------------------------
@@ -399,9 +445,10 @@ def shared_y1(spark, sf_dir):
     return _first(spark, sf_dir).select("text_id", "y1_status", "y1")
 
 
-def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = analyze.fan_out(_first(spark, sf_dir)).withColumn("replay", F.try_element_at("models", F.col("llm"))).drop("models")
-    return analyze.chain(df, {p: provider.ReplayProvider() for p in analyze.PROVIDERS}, hints=("replay",))
+def _chained(spark: SparkSession, sf_dir: str, skip_null_text: bool = False) -> DataFrame:
+    df = _replayed(spark, sf_dir)
+    first = analyze.shared_first_answer(df, provider.ReplayProvider("models", analyze.LEADER), hints=("models",), skip_null_text=skip_null_text)
+    return analyze.chain_all(first, {p: provider.ReplayProvider("models", p) for p in analyze.PROVIDERS}, hints=("models",))
 
 
 def _sql_chained() -> str:
@@ -433,44 +480,116 @@ def analysis_gate(spark, sf_dir):
     return analyze.to_legacy_text(analyze.gate(_chained(spark, sf_dir))).select("text_id", "llm", "y1", "y2", "y4")
 
 
-# --- sinks and logs --------------------------------------------------------
-
+@query(
+    "SELECT text_id, llm, CASE WHEN pdf_text IS NULL THEN 'y1_no_text' WHEN bad THEN 'failed' ELSE 'ok' END AS outcome, CASE WHEN NOT bad AND pdf_text IS NOT NULL THEN y2 END AS y2 "
+    f"FROM ({_sql_chained()}) JOIN (SELECT text_id, pdf_text FROM report_analysis_text) USING (text_id)"
+)
+def analysis_skip_null(spark, sf_dir):
+    """Documents without text are not asked about."""
+    done = analyze.gate(_chained(spark, sf_dir, skip_null_text=True))
+    outcome = F.when(F.col("status").isin(R.OK, "y1_no_text"), F.col("status")).otherwise("failed")
+    return done.select("text_id", "llm", outcome.alias("outcome"), "y2")
 
-def _place(spark: SparkSession, name: str) -> str:
-    import uuid
 
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+# --- sinks and logs --------------------------------------------------------
 
 
 @query("SELECT row_ordinal, CAST(batch_num AS BIGINT) AS batch_num, c3 FROM filter_output")
 def append_batches(spark, sf_dir):
-    df, path = table(spark, sf_dir, "filter_output").select("row_ordinal", "batch_num", "c3"), _place(spark, "batches")
-    early = F.col("batch_num") <= 3
-    sinks.append_batches(df.withColumn("part", early.cast("int")), path, "part")
-    sinks.append_batches(df.filter(early).withColumn("part", F.lit(1)), path, "part")  # a rerun replaces its batches
+    """Batches as they are numbered; the first ten are written wrong at first and then again."""
+    df, path = table(spark, sf_dir, "filter_output").select("row_ordinal", "batch_num", "c3"), place(spark, "batches")
+    early = F.col("batch_num") <= 10
+    sinks.append_batches(df.filter(early).withColumn("c3", F.lit("wrong")), path)
+    sinks.append_batches(df.filter(~early), path)
+    sinks.append_batches(df.filter(early), path)
     return spark.read.parquet(path).select("row_ordinal", F.col("batch_num").cast("long").alias("batch_num"), "c3")
 
 
 @query("SELECT CAST(row_ordinal AS VARCHAR) AS row_ordinal, nullif(nullif(c1, ''), 'None') AS c1, nullif(c3, '') AS c3, CASE is_annual_report WHEN true THEN 'True' WHEN false THEN 'False' END AS is_annual_report, nullif(classification_reason, '') AS classification_reason FROM filter_output")
 def csv_roundtrip(spark, sf_dir):
-    path = _place(spark, "csv")
+    path = place(spark, "csv")
     sinks.export_csv(table(spark, sf_dir, "filter_output").select("row_ordinal", "c1", "c3", "is_annual_report", "classification_reason"), path)
     return read_csv(spark, path, ordinal=None)
 
 
-@query("SELECT id, min(start_row) AS start_row, max(end_row) AS end_row, max(time_elapsed) AS time_elapsed FROM run_log GROUP BY id")
+@query("SELECT id, min(start_row) AS start_row, max(end_row) AS end_row, max(time_elapsed) AS time_elapsed FROM (SELECT * FROM run_log UNION ALL SELECT 'another', 5, 9, 1.5, NULL) GROUP BY id")
 def run_log(spark, sf_dir):
-    return sinks.latest_runs(table(spark, sf_dir, "run_log"))
+    """Runs logged by the sink, twice, and one more; each comes once."""
+    path = place(spark, "ledger")
+    runs = table(spark, sf_dir, "run_log")
+    sinks.log_runs(runs, path)
+    sinks.log_runs(runs, path)
+    sinks.log_run(spark, path, 5, 9, 1.5, run_id="another")
+    return sinks.latest_runs(spark.read.parquet(path))
 
 
-@query("SELECT row_ordinal FROM filter_output f WHERE NOT EXISTS (SELECT 1 FROM run_log r WHERE r.time_elapsed IS NOT NULL AND r.start_row <= f.row_ordinal AND f.row_ordinal < r.end_row)")
+_UNENDED = "(SELECT *, end_row < max(end_row) OVER () AS ended FROM run_log)"
+
+
+@query(f"SELECT row_ordinal FROM filter_output f WHERE NOT EXISTS (SELECT 1 FROM {_UNENDED} r WHERE r.ended AND r.time_elapsed IS NOT NULL AND r.start_row <= f.row_ordinal AND f.row_ordinal < r.end_row)")
 def resume_pending(spark, sf_dir):
-    return sinks.pending_rows(table(spark, sf_dir, "filter_output").select("row_ordinal"), table(spark, sf_dir, "run_log"), "row_ordinal")
+    """What is left to do while the runs with the last end have not ended yet."""
+    ledger = table(spark, sf_dir, "run_log")
+    return sinks.pending_rows(table(spark, sf_dir, "filter_output").select("row_ordinal"), _ended(ledger), "row_ordinal")
+
+
+def _ended(ledger: DataFrame) -> DataFrame:
+    last = ledger.agg(F.max("end_row")).first()[0]
+    return ledger.filter(F.col("end_row") < F.lit(last))
+
 
+_SQL_LOCAL = "timezone('America/Chicago', CAST(written_at AS TIMESTAMPTZ))"
+_SQL_LETTERS = f"CASE WHEN date_diff('hour', CAST(written_at AS TIMESTAMP), {_SQL_LOCAL}) = -5 THEN 'CDT' ELSE 'CST' END"
 
-@query("SELECT row_ordinal, 'output_' || strftime(timezone('America/Chicago', CAST(written_at AS TIMESTAMPTZ)), '%Y-%m-%d %H:%M:%S') || '.csv' AS object_key FROM filter_output")
+
+@query(f"SELECT row_ordinal, kind || '_' || strftime({_SQL_LOCAL}, '%Y-%m-%d %H:%M:%S') || ' ' || {_SQL_LETTERS} || '.csv' AS object_key FROM filter_output CROSS JOIN (VALUES ('input'), ('output')) v(kind)")
 def object_key(spark, sf_dir):
-    return table(spark, sf_dir, "filter_output").select("row_ordinal", sinks.object_key("output", F.col("written_at")).alias("object_key"))
+    df, at = table(spark, sf_dir, "filter_output"), F.col("written_at")
+    return df.select("row_ordinal", F.explode(F.array(sinks.object_key("input", at), sinks.object_key("output", at))).alias("object_key"))
+
+
+#: A slice that leaves rows out at both ends, in batches of the usual size.
+_JOB_START, _JOB_END, _JOB_BATCH = 7, -5, 64
+_SQL_JOB = (
+    f"SELECT row_ordinal, pos, (pos - {_JOB_START}) // {_JOB_BATCH} + 1 AS batch_num, {_SQL_VERDICT} FROM "
+    f"(SELECT *, row_number() OVER (ORDER BY row_ordinal) - 1 AS pos, count(*) OVER () AS n FROM filter_output) WHERE pos >= {_JOB_START} AND pos < n + {_JOB_END}"
+)
+
+
+@query(_SQL_JOB)
+def job_classify(spark, sf_dir):
+    """A whole run of stage 1 from CSV files: cut short after its first wave, run again, and its rows as they were written."""
+    folder = place(spark, "job")
+    df = _replies(spark, sf_dir).select("row_ordinal", F.col("c3").alias("pdf_url"), F.col("reply").alias("replay"))
+    sinks.export_csv(df, folder + "/in")
+    spec = RunSpec(folder + "/in", "out", _JOB_BATCH, _JOB_START, _JOB_END)
+    stage = lambda part: classify.classify(part, provider.ReplayProvider(), text=None, hints=("replay",))
+    job.run(spark, spec, stage, "row_ordinal", wave=16, waves=1)
+    job.run(spark, spec, stage, "row_ordinal", wave=2048)
+    return job.written(spark, spec).select(
+        F.col("row_ordinal").cast("long").alias("row_ordinal"), "pos", "batch_num", "is_annual_report", "status", "confidence", "classification_reason"
+    )
+
+
+@query(
+    "SELECT text_id, llm, pos, CASE WHEN bad THEN 'failed' ELSE 'ok' END AS outcome, CASE WHEN NOT bad THEN y2 END AS y2, CASE WHEN NOT bad THEN y4 END AS y4 "
+    f"FROM ({_sql_chained()}) JOIN (SELECT text_id, row_number() OVER (ORDER BY text_id) - 1 AS pos FROM report_analysis_text) USING (text_id)"
+)
+def job_analyse(spark, sf_dir):
+    """A whole run of stage 2 from CSV files, with recorded replies of all models."""
+    folder = place(spark, "job")
+    df = _replayed(spark, sf_dir).select("text_id", "pdf_url", F.col("pdf_text").alias("body"), F.to_json("models").alias("models"))
+    sinks.export_csv(df, folder + "/in")
+    spec = RunSpec(folder + "/in", "out", 32)
+
+    def stage(part: DataFrame) -> DataFrame:
+        part = part.withColumn("models", F.from_json("models", "map<string,map<string,string>>"))
+        texts = extract.extract(part, extract.ColumnFetcher("body"), extract.TextReader(), extract.ANALYSE)
+        return analyze.analyse(texts, {p: provider.ReplayProvider("models", p) for p in analyze.PROVIDERS}, _RUN, "pos", hints=("models",))
+
+    job.run(spark, spec, stage, "text_id")
+    outcome = F.when(F.col("status") == R.OK, "ok").otherwise("failed")
+    return job.written(spark, spec).select(F.col("text_id").cast("long").alias("text_id"), "llm", "pos", outcome.alias("outcome"), "y2", "y4")
 
 
 @query("SELECT CAST(k AS INTEGER) AS attempt, CAST(pow(2, k) AS BIGINT) AS wait_s, CAST(pow(2, k + 1) - 2 AS BIGINT) AS total_s FROM range(1, 8) t(k)")
@@ -483,21 +602,24 @@ def provider_prices(spark, sf_dir):
     return health.provider_prices(spark)
 
 
-def _offline() -> None:
-    raise ConnectionError("offline")
+_NAMES = ", ".join(f"('{p}')" for p in (*analyze.PROVIDERS, "Retired"))
 
 
-@query("SELECT * FROM (VALUES ('DeepSeek', true), ('GPT', false), ('Gemini', true)) t(provider, online)")
+@query(f"SELECT v.provider, count(a.llm) > 0 AS online FROM (VALUES {_NAMES}) v(provider) LEFT JOIN report_analysis a ON a.llm = v.provider AND a.y1 != 'API failed' GROUP BY v.provider")
 def provider_health(spark, sf_dir):
-    return health.provider_health(spark, {"DeepSeek": lambda: None, "GPT": _offline, "Gemini": lambda: None})
+    """Each model is asked by its probe; a recorded good answer is its reply, a model without one does not answer."""
+    good = F.max(F.when(F.col("y1") != analyze.FAILED, F.col("y1")))
+    replies = {r.llm: r.reply for r in table(spark, sf_dir, "report_analysis").groupBy("llm").agg(good.alias("reply")).filter(F.col("llm").isin(*analyze.PROVIDERS)).collect()}
+    probes = {p: health.probe(provider.ReplayProvider(), {"replay": replies.get(p)}) for p in (*analyze.PROVIDERS, "Retired")}
+    return health.provider_health(spark, probes)
 
 
 @query(f"SELECT row_ordinal, {_SQL_VERDICT} FROM filter_output")
 def stream_classify(spark, sf_dir):
     from docmill.streaming.pipeline import stream_stage
 
-    src, out = _place(spark, "stream-in"), _place(spark, "stream-out")
+    src, out = place(spark, "stream-in"), place(spark, "stream-out")
     _replies(spark, sf_dir).select("row_ordinal", F.col("c3").alias("pdf_url"), F.col("reply").alias("replay")).write.parquet(src)
     stage = lambda df: classify.classify(df, provider.ReplayProvider(), text=None, hints=("replay",))
-    stream_stage(spark, src, spark.read.parquet(src).schema, stage, out, _place(spark, "stream-checkpoint")).awaitTermination()
+    stream_stage(spark, src, spark.read.parquet(src).schema, stage, out, place(spark, "stream-checkpoint")).awaitTermination()
     return spark.read.parquet(out).select("row_ordinal", "is_annual_report", "status", "confidence", "classification_reason")

@@ -23,7 +23,7 @@ def stream_stage(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        append_batches(stage(batch).withColumn("batch_num", F.lit(number).cast("long")), out)
+        append_batches(stage(batch).withColumn("batch_num", F.lit(number + 1).cast("long")), out, group=1)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
