@@ -76,6 +76,7 @@ class Model:
     belongs: np.ndarray = field(default_factory=lambda: np.zeros(0))
     log_theta: np.ndarray = field(default_factory=lambda: np.zeros(0))
     log_prior: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    converged: bool = False
 
     def start(self, answerers: int) -> None:
         k = self.levels
@@ -170,7 +171,10 @@ def _ragged(batch: pa.RecordBatch, pick: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def fit(items: DataFrame, answerers: int, fields: tuple[Field, ...] = FIELDS, rounds: int = 12, enough: float = 2e-3) -> list[Model]:
-    """Variational fit; each round is one job whose result is one row of sums per task and field."""
+    """Variational fit; each round is one job whose result is one row of sums per task and field.
+
+    `converged` of a model says whether the last round moved no probability by `enough`.
+    """
     models = [Model(len(f.edges)) for f in fields]
     for m in models:
         m.start(answerers)
@@ -200,6 +204,8 @@ def fit(items: DataFrame, answerers: int, fields: tuple[Field, ...] = FIELDS, ro
             if len(own):
                 k = m.levels
                 moved = max(moved, m.update(own[:-k].reshape(answerers, k, k), own[-k:]))
+        for m in models:
+            m.converged = moved < enough
         if moved < enough:
             break
     return models
@@ -256,11 +262,10 @@ def p3_found(spark, sf_dir):
     return consensus(items, models).filter("n_answers >= 3 AND differ").select("id", "field", "label")
 
 
-def p3_reliability(spark, sf_dir):
-    """Per answerer and field: expected answers, probability of a right label, type and its probability."""
-    _, models, names = run(table(spark, sf_dir, "report_analysis"))
+def reliability(models: list[Model], names: list[str], fields: tuple[Field, ...] = FIELDS) -> list[tuple]:
+    """(llm, field, expected answers, probability of a right label, type, its probability, converged) per answerer and field."""
     rows = []
-    for f, m in zip(FIELDS, models):
+    for f, m in zip(fields, models):
         of = np.asarray(f.labels)
         theta = np.exp(m.log_theta)
         theta /= theta.sum(-1, keepdims=True)
@@ -268,5 +273,10 @@ def p3_reliability(spark, sf_dir):
         share = m.prior / max(m.prior.sum(), 1e-9)
         for a, name in enumerate(names):
             t = int(m.belongs[a].argmax())
-            rows.append((name, f.name, float(m.counts[a].sum()), float(right[a] @ share), t, float(m.belongs[a, t])))
-    return spark.createDataFrame(rows, "llm string, field string, n_answers double, reliability double, type int, type_probability double")
+            rows.append((name, f.name, float(m.counts[a].sum()), float(right[a] @ share), t, float(m.belongs[a, t]), m.converged))
+    return rows
+
+
+def p3_reliability(spark, sf_dir):
+    _, models, names = run(table(spark, sf_dir, "report_analysis"))
+    return spark.createDataFrame(reliability(models, names), "llm string, field string, n_answers double, reliability double, type int, type_probability double, converged boolean")

@@ -1,9 +1,10 @@
 """Problem 4: cut oversized texts at natural boundaries by dynamic programming.
 
-Boundaries of the coarsest sufficient level and of the levels before it are the
-candidate cuts; the programme minimises cut penalties and size imbalance under the
-maximum length and the overlap. Where the overlap leaves a stretch that no cut
-can close, finer levels join, down to single characters.
+The boundaries of one level after another join the candidate cuts, from coarse to fine, until the
+programme, which minimises cut penalties and size imbalance under the maximum length
+and the overlap, finds a way. A text's level is the first at which it finds one
+without an overlap. Where even words leave a stretch that no cut can close, the stretch
+may be cut at every eighth of a piece's length.
 
 Defined results: null, empty and texts within the limit are no cases and give one
 piece (null and empty give none). Lengths are code points. Texts are handled one by
@@ -104,24 +105,26 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str |
     n = len(text)
     if n <= limit:
         return None, [(0, n)] if n else []
-    level, at, kind = boundaries(text, limit)
     costs = np.array([PENALTY[name] for name, _ in LEVELS])
-    k = next((i for i, (name, _) in enumerate(LEVELS) if name == level), len(LEVELS))
-    while (cuts := best_cuts(n, at, costs[kind], limit, overlap)) is None:
-        k += 1
-        if k < len(LEVELS):
-            at, kind = add_level(text, k, at, kind)
-        else:
-            # No way even at words: inside stretches that are too long, any character may be cut.
-            step = max(1, (limit - overlap) // 8)
-            pos = np.concatenate(([0], at, [n]))
-            wide = np.flatnonzero(np.diff(pos) > (limit - overlap) // 2)
-            extra = np.concatenate([np.arange(pos[i] + step, pos[i + 1], step) for i in wide])
-            both = np.concatenate((at, extra))
-            order = np.argsort(both, kind="stable")
-            cost = np.concatenate((costs[kind], np.full(len(extra), PENALTY["char"])))[order]
-            cuts = best_cuts(n, both[order], cost, limit, overlap)
+    level, at, kind, cuts = None, np.empty(0, np.int64), np.empty(0, np.int64), None
+    for k, (name, _) in enumerate(LEVELS):
+        at, kind = add_level(text, k, at, kind)
+        cuts = best_cuts(n, at, costs[kind], limit, overlap)
+        if level is None and (cuts is not None or best_cuts(n, at, costs[kind], limit, 0) is not None):
+            level = name
+        if cuts is not None:
             break
+    else:
+        # No way even at words: wide stretches may be cut inside, at every eighth of a piece.
+        step = max(1, (limit - overlap) // 8)
+        pos = np.concatenate(([0], at, [n]))
+        wide = np.flatnonzero(np.diff(pos) > (limit - overlap) // 2)
+        extra = np.concatenate([np.arange(pos[i] + step, pos[i + 1], step) for i in wide])
+        both = np.concatenate((at, extra))
+        order = np.argsort(both, kind="stable")
+        cost = np.concatenate((costs[kind], np.full(len(extra), PENALTY["char"])))[order]
+        cuts = best_cuts(n, both[order], cost, limit, overlap)
+    level = level or "char"
     assert cuts is not None
     ends = [*cuts, n]
     return level, [(max(0, s - overlap) if i else 0, e) for i, (s, e) in enumerate(zip([0, *cuts], ends))]

@@ -10,8 +10,9 @@ the merge's rank and the tokens whose outgoing and incoming arcs it took over, a
 per cut arc the rank of the cut.
 
 A pre-split word is encoded from left to right: each byte position has exactly one
-state, found by table lookups among the tokens that end there; the ids are the arc
-labels on the way back. Words and the space-separated pieces of a text are cached,
+state, found among the tokens that end there by the table of transitions, which is filled
+from the tables above where a word first needs it; the ids are the arc
+labels on the way back. Decoding emits the labels of the arcs, the tokens' bytes. Words and the space-separated pieces of a text are cached,
 so a repeated piece is a dictionary lookup.
 
 Defined results: null and empty texts have an empty list, blank texts are encoded,
@@ -21,13 +22,14 @@ special-token strings are ordinary text, repeated rows are encoded again.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docmill.llm.common import spread, table
 
@@ -63,6 +65,7 @@ class Automaton:
                 self.ids.pop(u + v, None)
                 continue
             self._gadget(rank, vocab[u], vocab[v], vocab[u + v])
+        self.steps: dict[int, bool] = {}
         self.suffixes = {t[i:] for t in self.ids for i in range(len(t))}
         self._word: dict[str, bytes] = {}
         self._piece: dict[str, bytes | None] = {}
@@ -100,14 +103,21 @@ class Automaton:
         if known is not None and n < 3:
             return [known]
         state = [_START] * (n + 1)
-        ids, suffixes, arc = self.ids, self.suffixes, self.arc
+        ids, suffixes, steps, size = self.ids, self.suffixes, self.steps, self.size
+        if len(steps) > 4 * CACHE:
+            steps.clear()
         for i in range(1, n + 1):
             k = i - 1
             while k >= 0 and (tail := word[k:i]) in suffixes:
                 t = ids.get(tail)
-                if t is not None and arc(state[k], t):
-                    state[i] = t
-                    break
+                if t is not None:
+                    step = state[k] * size + t
+                    go = steps.get(step)
+                    if go is None:
+                        go = steps[step] = self.arc(state[k], t)
+                    if go:
+                        state[i] = t
+                        break
                 k -= 1
             else:
                 raise ValueError("the vocabulary lacks a byte")
@@ -190,6 +200,13 @@ class Automaton:
         return self._words(("" if first else " ") + " ".join(run))
 
 
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids: the labels of their arcs; bytes that are no text become the replacement character."""
+        if not hasattr(self, "_labels"):
+            self._labels = {i: t for t, i in self.ids.items()}
+        return b"".join(map(self._labels.__getitem__, ids)).decode("utf-8", "replace")
+
+
 @lru_cache(maxsize=4)
 def load(path: str = TOKENIZER) -> Automaton:
     """Compile the automaton of a byte-level BPE file; once per worker process."""
@@ -220,6 +237,18 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> D
     return df.select(key, text).mapInArrow(run, f"{key} long, ids array<int>")
 
 
+def decode_texts(df: DataFrame, key: str, ids: str = "ids", path: str = TOKENIZER) -> DataFrame:
+    """(key, text) of each row; null and empty lists give an empty text, an unknown id fails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = load(path).decode
+        for batch in batches:
+            texts = [decode(x) if x else "" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, f"{key} long, text string")
+
+
 def count_tokens(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> DataFrame:
     """(key, n_tokens) of each row; null and empty texts have 0."""
 
@@ -234,3 +263,12 @@ def count_tokens(df: DataFrame, key: str, text: str, path: str = TOKENIZER) -> D
 
 def p6_ids(spark, sf_dir):
     return encode_texts(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
+
+
+def p6_decoded(spark, sf_dir):
+    """Every text encoded and decoded again."""
+    texts = decode_texts(p6_ids(spark, sf_dir), "doc_id")
+    return texts.select("doc_id", F.md5("text").alias("text_md5"), F.char_length("text").cast("long").alias("n"))
+
+
+SQL = {"p6_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, CAST(length(coalesce(text, '')) AS BIGINT) AS n FROM documents"}

@@ -69,3 +69,15 @@ def test_latest_and_missing(spark):
     assert got == {("a", "y2"): 2} and names == ["x", "y"]
     items, models, _ = C.run(frame(spark, rows).limit(0))
     assert C.consensus(items, models).count() == 0
+
+
+def test_reliability_is_near_the_planted_one(spark):
+    truth, rows = answers(n=1500)
+    _, models, names = C.run(frame(spark, rows))
+    said = {(a, i): int(v) for i, a, _, v, _ in rows}
+    for name, field, n, right, *_ in C.reliability(models, names):
+        if field == "y4":
+            own = [said[name, f"i{i}"] == t for i, t in enumerate(truth) if (name, f"i{i}") in said]
+            # An answerer with few labels leans on its type.
+            assert abs(right - np.mean(own)) <= (0.08 if len(own) > 100 else 0.25), (name, right, np.mean(own))
+            assert abs(n - len(own)) < 1

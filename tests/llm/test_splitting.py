@@ -72,3 +72,15 @@ def test_frame(spark):
     assert {(r.k, r.level) for r in got} == {(4, "char"), (5, "paragraph"), (5, "page")}
     assert all(len(r.piece) <= 6000 and r.end - r.start == len(r.piece) for r in got)
     assert S.split_texts(df.limit(0), "k", "t").count() == 0
+
+
+def test_level_of_the_programme_is_the_first_sufficient_one():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab", "cde. ", "x\n", "\n\n", "\f", " ", "longword" * rng.randrange(1, 8), "! "]) for _ in range(rng.randrange(5, 80)))
+        limit = rng.choice([12, 30, 60])
+        level, parts = S.split(text, limit, rng.choice([0, 3, 6]))
+        if len(text) > limit:
+            assert level == S.boundaries(text, limit)[0] and all(e - s <= limit for s, e in parts)

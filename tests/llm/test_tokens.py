@@ -34,6 +34,13 @@ def test_long_runs(library):
         assert ids(text) == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=60))
+def test_decoding_gives_the_text_back(text):
+    text = text.encode("utf-8", "replace").decode()
+    assert T.load().decode(ids(text)) == text
+
+
 def plain_bpe(word, merges):
     """Merge the leftmost pair of least rank until none is left."""
     parts = [bytes([b]) for b in word]
