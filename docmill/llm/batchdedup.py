@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docmill.llm.common import materialise, spread, table
+from docmill.session import place
 
 #: Coverage from which a record counts as covered by an earlier one: addresses in both directions, texts of the later one.
 COVER_ADDRESS, COVER_TEXT = 0.9, 0.8
@@ -435,6 +436,16 @@ def p5_found(spark, sf_dir):
     return a.unionByName(b)
 
 
+def p5_last_batch(spark, sf_dir):
+    """(first_id, dup_id) of the newest batch of report_analysis_text, checked against a store of all earlier ones."""
+    df, store = table(spark, sf_dir, "report_analysis_text"), place(spark, "p5-store")
+    number = F.coalesce("batch_num", F.lit(-1))
+    last = df.agg(F.max(number)).first()[0]
+    columns = ("text_id", "c1", "pdf_url", "pdf_text")
+    accept_batch(spark, df.filter(number < F.lit(last)), store, *columns, arrived=1)
+    return accept_batch(spark, df.filter(number == F.lit(last)), store, *columns, arrived=2)
+
+
 def p5_coverage(spark, sf_dir):
     """Best coverage of each text of report_analysis_text by an earlier record of its kin, repeat or not."""
     _, met = check_all(table(spark, sf_dir, "report_analysis_text"), "text_id", "c1", "pdf_url", "pdf_text")

@@ -12,7 +12,7 @@ for _module, _names in (
     ("textstats", ("p2_stats", "p2_found")),
     ("splitting", ("p4_pieces", "p4_found")),
     ("tokenize", ("p6_ids", "p6_decoded")),
-    ("batchdedup", ("p5_found", "p5_coverage")),
+    ("batchdedup", ("p5_found", "p5_last_batch", "p5_coverage")),
     ("language", ("p8_documents", "p8_passages", "p8_found")),
     ("packing", ("p7_containers", "p7_fill")),
 ):

@@ -222,7 +222,7 @@ class ByteGRU:
             hs[i + 1] = zr[i, :, :h] * hs[i] + (1 - zr[i, :, :h]) * cs[i]
         return {"hs": hs, "zr": zr, "cs": cs}
 
-    def _back(self, layer: Layer, x: np.ndarray, kept: dict[str, np.ndarray], dh_out: np.ndarray) -> list[np.ndarray]:
+    def _back(self, layer: Layer, x: np.ndarray, kept: dict[str, np.ndarray], dh_out: np.ndarray) -> list:
         t, b, _ = x.shape
         h = HIDDEN
         hs, zr, cs = kept["hs"], kept["zr"], kept["cs"]
@@ -242,14 +242,16 @@ class ByteGRU:
             dcand += (r * before).T @ da
             dh = dh * z + drh * r + dzr @ layer.recur.T
         flat = dgates.reshape(-1, 3 * h)
-        dembed = np.empty_like(layer.embed)
-        dembed[:] = 0
+        # Of the byte vectors only those of the bytes at hand have a slope: (numbers of their rows, slopes).
+        rows, sums = [], []
         for p in range(FRAME):
             byte = x[:, :, p].ravel()
             order = np.argsort(byte, kind="stable")
             byte = byte[order]
             starts = np.flatnonzero(np.diff(byte, prepend=np.uint8(byte[0] ^ 1)))
-            dembed[p, byte[starts]] = np.add.reduceat(flat[order], starts, axis=0)
+            rows.append(byte[starts].astype(np.int64) + 256 * p)
+            sums.append(np.add.reduceat(flat[order], starts, axis=0))
+        dembed = np.concatenate(rows), np.concatenate(sums)
         return [dembed, drecur, dcand]
 
     def train(self, texts: list[bytes], labels: list[int], steps: int, batch: int = 96, length: int = 12, rate: float = 0.012, seed: int = 9) -> None:
@@ -259,7 +261,8 @@ class ByteGRU:
         # A language of many different sentences comes up more often, up to four times.
         share = np.array([min(4.0, max(1.0, len(some) / 400)) if some else 0.0 for some in by])
         share /= share.sum()
-        params = [p for layer in self.layers for p in layer.parts()] + [self.bias]
+        wide = lambda q: q.reshape(-1, q.shape[-1]) if q.ndim == 3 else q
+        params = [wide(p) for layer in self.layers for p in layer.parts()] + [self.bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         width = length * FRAME
         for step in range(1, steps + 1):
@@ -280,19 +283,20 @@ class ByteGRU:
             d = p.copy()
             d[:, np.arange(len(y)), y] -= 1
             d *= (mask / mask.sum())[:, :, None]
-            grads: list[np.ndarray] = []
+            grads: list = []
             for layer, k, xs, ds in ((self.layers[0], kept[0], x, d), (self.layers[1], kept[1], x[::-1], d[::-1])):
-                dout = np.einsum("tbh,tbc->hc", k["hs"][1:], ds)
+                dout = k["hs"][1:].reshape(-1, HIDDEN).T @ ds.reshape(-1, len(self.langs))
                 grads += [*self._back(layer, xs, k, ds @ layer.out.T), dout]
             grads.append(d.sum((0, 1)))
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+            slopes = [g if isinstance(g, tuple) else (slice(None), g) for g in grads]
+            norm = np.sqrt(sum(float((g * g).sum()) for _, g in slopes))
             scale = min(1.0, 1.0 / (norm + 1e-9))
             lr = rate * min(1, step / 20) * (1 - step / (steps + 1))
-            for q, g, a, b in zip(params, grads, m, v):
+            for q, (at, g), a, b in zip(params, slopes, m, v):
                 g = g * scale
-                a += 0.1 * (g - a)
-                b += 0.005 * (g * g - b)
-                q -= lr * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.995**step)) + 1e-7)
+                a[at] += 0.1 * (g - a[at])
+                b[at] += 0.005 * (g * g - b[at])
+                q[at] -= lr * (a[at] / (1 - 0.9**step)) / (np.sqrt(b[at] / (1 - 0.995**step)) + 1e-7)
         self._tables = None
 
     # reading: two bytes at a time by tables, in blocks of equal lengths

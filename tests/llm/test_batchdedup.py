@@ -212,3 +212,11 @@ def test_frequent_chunks_are_looked_up_alike(spark, monkeypatch):
 @pytest.mark.parametrize("address", ["", "?", "http://", "::::", "/a/b", "https://x.example"])
 def test_odd_addresses(address):
     B.identity("o", address)
+
+
+def test_last_batch_agrees_with_the_single_pass(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = spark.read.parquet(f"{sf}/report_analysis_text.parquet")
+    last = {r.text_id for r in texts.filter(texts.batch_num == texts.agg({"batch_num": "max"}).first()[0]).select("text_id").collect()}
+    want = {(r.first_id, r.dup_id) for r in B.p5_found(spark, sf).filter("tab = 'report_analysis_text'").collect() if r.dup_id in last}
+    assert {tuple(r) for r in B.p5_last_batch(spark, sf).collect()} == want and want
