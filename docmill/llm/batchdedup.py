@@ -437,13 +437,18 @@ def p5_found(spark, sf_dir):
 
 
 def p5_last_batch(spark, sf_dir):
-    """(first_id, dup_id) of the newest batch of report_analysis_text, checked against a store of all earlier ones."""
+    """(text_id, first_id) of each row of the newest batch of report_analysis_text, checked against a store of all earlier ones.
+
+    `first_id` is null where the row is accepted.
+    """
     df, store = table(spark, sf_dir, "report_analysis_text"), place(spark, "p5-store")
     number = F.coalesce("batch_num", F.lit(-1))
     last = df.agg(F.max(number)).first()[0]
     columns = ("text_id", "c1", "pdf_url", "pdf_text")
     accept_batch(spark, df.filter(number < F.lit(last)), store, *columns, arrived=1)
-    return accept_batch(spark, df.filter(number == F.lit(last)), store, *columns, arrived=2)
+    batch = df.filter(number == F.lit(last))
+    found = accept_batch(spark, batch, store, *columns, arrived=2).withColumnRenamed("dup_id", "text_id")
+    return batch.select("text_id").distinct().join(found, "text_id", "left")
 
 
 def p5_coverage(spark, sf_dir):
