@@ -18,7 +18,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -56,25 +56,46 @@ def _letters(text: str) -> str:
     return "".join(c if c.isalpha() else " " for c in text.lower())
 
 
+class _Deck:
+    """Deals all cards in a random order, then all of them again."""
+
+    def __init__(self, cards: list[str], rng: random.Random) -> None:
+        self.cards, self.rng = cards, rng
+        self.anew()
+
+    def anew(self) -> None:
+        self.left, self.through = self.rng.sample(self.cards, len(self.cards)), False
+
+    def deal(self) -> str:
+        if not self.left:
+            self.left = self.rng.sample(self.cards, len(self.cards))
+        card = self.left.pop()
+        self.through = self.through or not self.left
+        return card
+
+
 def structures(samples: list[tuple[str, str]], seed: int = 7) -> list[tuple[str, str, str]]:
-    """(kind, sort, text): the samples' words set out as prose, lists, tables and junk."""
+    """(kind, sort, text): all the samples' texts as prose and junk, all their content words as every sort of list and table."""
     rng = random.Random(seed)
     by: dict[str, list[str]] = defaultdict(list)
     for lang, text in samples:
         by[lang].append(text)
     out = []
     for lang, texts in by.items():
-        wide = bool(_WIDE.search(texts[0]))
+        wide = 2 * sum(bool(_WIDE.search(t)) for t in texts) > len(texts)
         pieces = [x for t in texts for x in (re.findall(r"[^\W\d_]+", t) if wide else _letters(t).split())]
         # Entries are made of content words: the ones that come rarely.
         often = Counter(pieces)
         rare = [w for w in pieces if often[w] <= 2 and len(w) > (1 if wide else 4)] or pieces
-        word = lambda: rng.choice(rare)[:12] if wide else rng.choice(rare)
+        if wide:
+            rare = [w[i : i + 12] for w in rare for i in range(0, len(w), 12)]
+        words = _Deck(rare or texts, rng)
+        clauses = _Deck([x.strip() for t in texts for x in re.split(r"[.。,，;；]", t) if x.strip()] or texts, rng)
+        word = words.deal
         name = lambda: word().capitalize()
         figure = lambda: rng.choice([f"{rng.randrange(1, 99_999):,}", str(rng.randrange(1, 999)), f"({rng.randrange(99_999):,})", f"{rng.randrange(1, 999) / 10}", "-", "n/a", f"{rng.randrange(1, 999) / 10} million", f"{rng.randrange(100)}%"])
         year = lambda: str(rng.randrange(1990, 2030))
         phrase = lambda n: " ".join(word() for _ in range(n))
-        cut = lambda t: rng.choice([x for x in re.split(r"[.。,，;；]", t) if x.strip()] or [t]).strip()
 
         def wrapped(t: str, width: int) -> str:
             if wide:
@@ -95,30 +116,38 @@ def structures(samples: list[tuple[str, str]], seed: int = 7) -> list[tuple[str,
         def shuffled(w: str) -> str:
             return "".join(rng.sample(w, len(w)))
 
-        texts = texts[:40]
+        def rows(make: Callable[[int], str]) -> Callable[[], str]:
+            return lambda: "\n".join(make(i) for i in range(20))
+
+        def every(deck: _Deck, kind: str, sort: str, *ways: Callable[[], str]) -> None:
+            """Texts of a sort, all ways in turn, until every card stands in one."""
+            deck.anew()
+            while not deck.through:
+                out.extend((kind, sort, way()) for way in ways)
+
         for t in texts:
             out += [("prose", lang, t), ("prose", lang, wrapped(t, 72)), ("prose", f"{lang} scanned", scanned(t)), ("prose", f"{lang} capitals", wrapped(t.upper(), 72))]
             out.append(("junk", f"{lang} shuffled", " ".join(map(shuffled, t.split())) if not wide else shuffled(t)))
+            out += [("junk", "repeated", (t[i : i + 120] + " ") * 30) for i in range(0, len(t), 120)]
+        every(words, "junk", "repeated", lambda: f"{phrase(rng.randrange(1, 3))} " * 60)
         group = "wide" if wide else "narrow"
         marks = [lambda i: rng.choice("-*•–☐") + " ", lambda i: f"{i + 1}. ", lambda i: f"({chr(97 + i % 26)}) ", lambda i: f"{chr(97 + i % 26)}) ", lambda i: f"({_roman(i + 1)}) "]
-        for mark in marks:
-            out.append(("list", f"{group} marked", "\n".join(mark(i) + phrase(rng.randrange(1, 5)) for i in range(20))))
-            out.append(("list", f"{group} marked sentences", "\n".join(mark(i) + cut(rng.choice(texts)) + rng.choice([";", ".", ""]) for i in range(20))))
-            out.append(("list", f"{group} marked fields", "\n".join(mark(i) + "; ".join([phrase(2), name()]) + ";" for i in range(20))))
-        for sep in (", ", " – ", "; "):
-            out.append(("list", f"{group} names", "\n".join(f"{name()}{sep}{name()}" for _ in range(20))))
-        out.append(("list", f"{group} names", "\n".join(" ".join(name() for _ in range(rng.randrange(1, 5))) for _ in range(20))))
-        out.append(("list", f"{group} short", "\n".join(phrase(rng.randrange(1, 4)) for _ in range(20))))
-        for sort, left, sep, right in (("piped", "| ", " | ", " |"), ("tabbed", "", "\t", ""), ("fields", "", ";", ""), ("commas", "", ",", ""), ("columns", "", "      ", ""), ("cells", "", "\n", "")):
-            for n in (2, 3, 4):
-                rows = [[name(), *(year() for _ in range(n))], *([name(), *(figure() for _ in range(n))] for _ in range(20))]
-                out.append(("table", f"{group} {sort}", "\n".join(left + sep.join(r) + right for r in rows)))
-        out.append(("table", f"{group} records", "\n".join(f"{i},{name()} {word()},{year()},{figure().replace(',', '')}" for i in range(20))))
-        out.append(("table", f"{group} form", "\n".join(f"{i + 1}{rng.choice('ab')} {name()} {word()} {'.' * rng.randrange(6, 30)} {figure()}" for i in range(20))))
-        out.append(("table", f"{group} blanks", "\n".join(f"{name()} {word()}: {'_' * rng.randrange(6, 20)}" for i in range(20))))
-        some = phrase(rng.randrange(1, 3))
-        out.append(("junk", "repeated", f"{some} " * 60))
-        out.append(("junk", "repeated", (rng.choice(texts)[:120] + " ") * 30))
+        every(words, "list", f"{group} marked", *(rows(lambda i, mark=mark: mark(i) + phrase(rng.randrange(1, 5))) for mark in marks))
+        every(clauses, "list", f"{group} marked sentences", *(rows(lambda i, mark=mark: mark(i) + clauses.deal() + rng.choice([";", ".", ""])) for mark in marks))
+        every(words, "list", f"{group} marked fields", *(rows(lambda i, mark=mark: mark(i) + "; ".join([phrase(2), name()]) + ";") for mark in marks))
+        names = [lambda i, sep=sep: f"{name()}{sep}{name()}" for sep in (", ", " – ", "; ")]
+        every(words, "list", f"{group} names", *map(rows, [*names, lambda i: " ".join(name() for _ in range(rng.randrange(1, 5)))]))
+        every(words, "list", f"{group} short", rows(lambda i: phrase(rng.randrange(1, 4))))
+
+        def grid(left: str, sep: str, right: str, n: int) -> str:
+            cells = [[name(), *(year() for _ in range(n))], *([name(), *(figure() for _ in range(n))] for _ in range(20))]
+            return "\n".join(left + sep.join(r) + right for r in cells)
+
+        for sort, *marks in (("piped", "| ", " | ", " |"), ("tabbed", "", "\t", ""), ("fields", "", ";", ""), ("commas", "", ",", ""), ("columns", "", "      ", ""), ("cells", "", "\n", "")):
+            every(words, "table", f"{group} {sort}", *(lambda n=n, marks=marks: grid(*marks, n) for n in (2, 3, 4)))
+        every(words, "table", f"{group} records", rows(lambda i: f"{i},{name()} {word()},{year()},{figure().replace(',', '')}"))
+        every(words, "table", f"{group} form", rows(lambda i: f"{i + 1}{rng.choice('ab')} {name()} {word()} {'.' * rng.randrange(6, 30)} {figure()}"))
+        every(words, "table", f"{group} blanks", rows(lambda i: f"{name()} {word()}: {'_' * rng.randrange(6, 20)}"))
     signs = "§†‡°¬¤¦µ¶ƒ∂∆∫≈≠≤≥÷×ßæç^~#@&%$*{}[]<>|/\\"
     for _ in range(20):
         out.append(("junk", "signs", "\n".join("".join(rng.choice(signs + " 0x") for _ in range(rng.randrange(5, 60))) for _ in range(12))))
@@ -148,7 +177,7 @@ class Profiles:
     @staticmethod
     def learn(samples: Iterable[tuple[str, str]], words: Iterable[str]) -> Profiles:
         """From (language, passage) pairs and frequent words; both are small fixed tables."""
-        samples, words = sorted(samples), [w.lower() for w in words]
+        samples, words = sorted(set(samples)), [w.lower() for w in words]  # repeated rows teach once
         counts: Counter[str] = Counter()
         first: Counter[str] = Counter()
         for _, text in samples:

@@ -51,6 +51,29 @@ def test_divergence_decides_not_the_majority_of_characters():
         assert X._stats(reader, text)[0] == kind, text
 
 
+def test_profiles_are_made_of_all_samples():
+    letters = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    samples = [("en", " ".join(f"or{letters(25 * i + k)}" for k in range(25)) + ".") for i in range(60)]
+    samples += [("zh", "".join(chr(0x4E00 + 40 * i + k) for k in range(40)) + "。") for i in range(60)]
+    made = X.structures(samples)
+    assert {t for _, t in samples} <= {t for kind, _, t in made if kind == "prose"}
+    assert {w for lang, t in samples if lang == "en" for w in t[:-1].split()} <= {w for kind, sort, t in made if sort == "repeated" for w in t.split()}
+    by = {}
+    for kind, sort, t in made:
+        if kind in ("list", "table"):
+            by.setdefault((kind, sort), []).append(t.lower())
+    assert len(by) == 2 * 14
+    for (kind, sort), texts in by.items():
+        text = "\n".join(texts)
+        if "narrow" in sort:
+            assert {w for lang, t in samples if lang == "en" for w in t[:-1].split()} <= set(X._letters(text).split()), sort
+        else:
+            assert {c for lang, t in samples if lang == "zh" for c in t[:-1]} <= set(text), sort
+    # What only the later samples hold changes the profiles; rows given twice do not.
+    first, whole, twice = (X.Profiles.learn(x, ["the"]).matrix for x in (samples[:40] + samples[60:], samples, samples * 2))
+    assert (first != whole).any() and (whole == twice).all()
+
+
 LABELS = [
     ("en", ["en"]), ("EN", ["en"]), ("en_GB", ["en"]), ("pt-BR", ["pt"]), ("es+en", ["en", "es"]), ("en & zh", ["en", "zh"]), ("русский", ["ru"]),
     ("Nederlands", ["nl"]), ("German and French", ["de", "fr"]), ("und", []), ("", []), (None, []), ("?", []), ("deu", ["de"]), ("zh-Hans", ["zh"]), ("mul", []), ("pt;en", ["en", "pt"]),
